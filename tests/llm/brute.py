@@ -22,3 +22,31 @@ def quality(text):
         len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)),
         len(covered), len(words) < 20 or 100 * len(covered) > 30 * len(words),
     )
+
+
+def packed_faults(pieces, ids_of, length=2048):
+    """What is wrong with the pieces of a packing: rows with the contract's columns; ids_of: doc_id -> ids."""
+    import zlib
+
+    import numpy as np
+
+    at, seqs, wrong = Counter(), {}, []
+    for p in sorted(pieces, key=lambda r: (r["doc_id"], r["start"])):
+        ids = ids_of[p["doc_id"]]
+        if p["start"] != at[p["doc_id"]] or p["doc_tokens"] != len(ids) or p["length"] <= 0:
+            wrong.append(("piece", p))
+        part = np.array(ids[p["start"] : p["start"] + p["length"]], "<u4")
+        if zlib.crc32(part.tobytes()) != p["ids_crc32"]:
+            wrong.append(("crc", p))
+        at[p["doc_id"]] += p["length"]
+        seqs.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    wrong += [("missing", d) for d, ids in ids_of.items() if at[d] != len(ids)]
+    for k, spans in seqs.items():
+        end = 0
+        for o, n in sorted(spans):
+            if o != end:
+                wrong.append(("gap", k, o, end))
+            end = o + n
+        if end > length or (end < length and k != max(seqs)):
+            wrong.append(("fill", k, end))
+    return wrong
