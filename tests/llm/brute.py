@@ -50,3 +50,33 @@ def packed_faults(pieces, ids_of, length=2048):
         if end > length or (end < length and k != max(seqs)):
             wrong.append(("fill", k, end))
     return wrong
+
+
+def substring(rows, window=20):
+    """doc_id -> (n_words, n_removed, kept_sha256) of op 10, over (doc_id, text) rows with different ids."""
+    seen, out = set(), {}
+    for d, text in sorted(rows):
+        ws = WORD.findall(text or "")
+        gone = set()
+        for i in range(len(ws) - window + 1):
+            k = tuple(ws[i : i + window])
+            if k in seen:
+                gone.update(range(i, i + window))
+            seen.add(k)
+        out[d] = (len(ws), len(gone), sha(" ".join(w for i, w in enumerate(ws) if i not in gone)))
+    return out
+
+
+def byte_repeats(rows, window=50):
+    """doc_id -> (n_bytes, n_removed, n_spans, kept_sha256) of op 7, over (doc_id, text) rows with different ids."""
+    seen, out = {}, {}
+    for d, text in sorted(rows):
+        b = (text or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - window + 1):
+            k = b[i : i + window]
+            if seen.setdefault(k, d) != d:
+                gone[i : i + window] = b"\1" * window
+        spans = sum(1 for i in range(len(b)) if gone[i] and not (i and gone[i - 1]))
+        out[d] = (len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone, strict=True) if not g)))
+    return out
