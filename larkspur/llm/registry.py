@@ -1,8 +1,8 @@
 """All queries of the subpackage and their SQL."""
 
-from larkspur.llm import exact_dedup, line_dedup, mixing, packing, quality_rules, substring_dedup, suffix_dedup, token_files, toxicity
+from larkspur.llm import exact_dedup, jaccard_join, line_dedup, mixing, packing, quality_rules, substring_dedup, suffix_dedup, token_files, toxicity
 
-MODULES = (quality_rules, line_dedup, mixing, exact_dedup, packing, token_files, toxicity, substring_dedup, suffix_dedup)
+MODULES = (quality_rules, line_dedup, mixing, exact_dedup, packing, token_files, toxicity, substring_dedup, suffix_dedup, jaccard_join)
 
 
 def queries():

@@ -80,3 +80,28 @@ def byte_repeats(rows, window=50):
         spans = sum(1 for i in range(len(b)) if gone[i] and not (i and gone[i - 1]))
         out[d] = (len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone, strict=True) if not g)))
     return out
+
+
+def jaccard(rows, shingle=4, percent=85):
+    """doc_id -> (n_shingles, component_id) of op 5, over (doc_id, text) rows with different ids."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets, by, root = {}, {}, {}
+    for d, text in sorted(rows):
+        ws = WORD.findall((text or "").translate(low))
+        sets[d] = {tuple(ws[i : i + shingle]) for i in range(max(1, len(ws) - shingle + 1))} if ws else set()
+        root[d] = d
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for d, s in sets.items():
+        n = Counter(e for t in s for e in by.get(t, ()))
+        for e, both in n.items():
+            if 100 * both >= percent * (len(s) + len(sets[e]) - both):
+                a, b = sorted((find(d), find(e)))
+                root[b] = a
+        for t in s:
+            by.setdefault(t, []).append(d)
+    return {d: (len(s), find(d)) for d, s in sets.items()}
