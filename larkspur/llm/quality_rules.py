@@ -32,7 +32,10 @@ NAVIGATION = (
 
 
 def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+    """The text less some characters; one replace() each, which is far cheaper than translate() on long texts."""
+    for c in chars:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
 
 def repeated_words(words: Column, window: int = 8) -> Column:
