@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import BLANKS, LOWER, UPPER, documents, text_of
+from larkspur.llm.common import BLANKS, LOWER, UPPER, documents, text_of, written
 
 
 def line_key(line: Column) -> Column:
@@ -48,15 +48,17 @@ def line_bitmaps(docs: DataFrame, *, min_docs: int, keep_first: bool, min_key: i
             F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "doc_id", "row", "pos"
         )
     )
+    keyed = written(keyed, "line_keys")  # the ranges are sampled from this, not from the texts again
     ranged = keyed.repartitionByRange("h1", "h2", "doc_id", "row").sortWithinPartitions("h1", "h2", "doc_id", "row", "pos")
     # The ranges already hold a key's rows of one document together: no exchange here.
-    per_doc = ranged.groupBy("h1", "h2", "doc_id", "row").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    per_doc = written(ranged.groupBy("h1", "h2", "doc_id", "row").agg(F.sort_array(F.collect_set("pos")).alias("at")), "line_ranges")
     first = F.min(F.struct("doc_id", "row", F.element_at("at", 1).alias("pos"))).alias("first")
     keys = per_doc.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("at")).alias("most"), first)
     keys = keys.filter(F.col("n") >= min_docs)
     if keep_first:
         keys = keys.filter((F.col("n") > 1) | (F.col("most") > 1))
-    hit = per_doc.join(keys, ["h1", "h2"])
+    # Written, so that its size is known (it is broadcast only if small) and a frequent key's rows can be split in the join.
+    hit = per_doc.join(written(keys, "line_counts"), ["h1", "h2"])
     if keep_first:
         is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))
         hit = hit.withColumn("at", F.when(is_first, F.slice("at", 2, F.greatest(F.size("at") - 1, F.lit(0)))).otherwise(F.col("at")))
