@@ -8,7 +8,7 @@ first source whose cap is not below the level (rest of the budget) / (rest of th
 Every document of a source is taken ``floor(target / source_size)`` times whole. The
 fraction left over takes documents in the order of a seeded hash until its words are reached,
 the last one in part, so the words taken meet the target to within one. The order is cut
-into ``2 ** bits`` hash ranges a source: their sums say where the cut falls, and no task ever sorts a source.
+into ``2 ** bits`` hash ranges a source: their sums say in which the fraction ends, and only that range is sorted.
 
 Defined cases: null texts have size 0; null is a source of its own, last in order; sources
 without words get target 0; rows that repeat are taken one by one (equal ones in either
@@ -43,34 +43,68 @@ def water_fill(sources: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, max
     return found.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mixture(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 0, bits: int = 12) -> DataFrame:
-    """Per row: doc_id, source, size, source_size, target, ``whole`` (repetitions), ``part``
-    (words of one more repetition), ``taken`` (words in all)."""
-    sizes = docs.select(
-        "doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"),
-    )
-    sizes = written(sizes.withColumn("bucket", F.shiftrightunsigned("h", 64 - bits).cast("int")), "sizes")
-    buckets = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
+def _plan(docs: DataFrame, *, weights, share: float, max_epochs: float, seed: int, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(a row a document: doc_id, source, size, h, bucket; a row a source: sizes, target, ``whole``, and the bucket
+    ``cut`` in which the fraction ends, with the words of it still free there; documents of those buckets: h, part)."""
+    sizes = docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), _order(seed).alias("h"))
+    sizes = written(sizes.withColumn("bucket", _bucket(bits)), "sizes")
+    buckets = written(sizes.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket")), "buckets")
     per_source = buckets.groupBy("source").agg(F.sum("in_bucket").alias("source_size"))
     targets = water_fill(per_source, weights=weights, share=share, max_epochs=max_epochs)
-    targets = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    targets = written(targets.withColumn("whole", whole), "targets")
     targets = targets.withColumn("left", F.round("target").cast("long") - F.col("whole") * F.col("source_size"))
     up_to = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = buckets.select("source", "bucket", F.coalesce(F.sum("in_bucket").over(up_to), F.lit(0)).alias("before"))
-    b, t = before.alias("b"), targets.alias("t")
-    cuts = b.join(t, F.col("b.source").eqNullSafe(F.col("t.source"))).select(
-        F.col("b.source").alias("c_source"), F.col("b.bucket").alias("c_bucket"), "before", "source_size", "target", "whole", "left"
-    )
-    rows = sizes.join(cuts, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("bucket") == F.col("c_bucket")))
-    within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - start))
-    return rows.withColumn("part", part).select(
+    before = buckets.withColumn("before", F.coalesce(F.sum("in_bucket").over(up_to), F.lit(0))).withColumnRenamed("source", "b_source")
+    t = targets.withColumnRenamed("source", "c_source")
+    ends = before.join(t.select("c_source", "left"), F.col("b_source").eqNullSafe(F.col("c_source")))
+    ends = ends.filter((F.col("before") <= F.col("left")) & (F.col("left") < F.col("before") + F.col("in_bucket")))
+    ends = ends.select("b_source", F.col("bucket").alias("cut"), (F.col("left") - F.col("before")).alias("room"))
+    cuts = written(t.join(ends, F.col("c_source").eqNullSafe(F.col("b_source")), "left").drop("b_source", "left"), "cuts")
+    within = Window.partitionBy("source").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    at_end = sizes.join(cuts, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("bucket") == F.col("cut")))
+    start = F.coalesce(F.sum("size").over(within), F.lit(0))
+    parts = at_end.select("h", F.greatest(F.lit(0), F.least(F.col("size"), F.col("room") - start)).alias("part"))
+    return sizes, cuts, written(parts.groupBy(F.col("h").alias("e_h")).agg(F.max("part").alias("e_part")), "ends")
+
+
+def _order(seed: int):
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
+
+
+def _bucket(bits: int):
+    return F.shiftrightunsigned("h", 64 - bits).cast("int")
+
+
+def _taken(rows: DataFrame, cuts: DataFrame, ends: DataFrame) -> DataFrame:
+    """rows: source, size, h, bucket -> also whole, part. Cuts and ends are tables of known size: small ones are broadcast."""
+    both = rows.join(cuts, F.col("source").eqNullSafe(F.col("c_source"))).join(ends, F.col("h") == F.col("e_h"), "left")
+    part = F.when(F.col("bucket") < F.col("cut"), F.col("size")).when(F.col("bucket") == F.col("cut"), F.coalesce("e_part", F.lit(0))).otherwise(F.lit(0))
+    return both.withColumn("part", part.cast("long"))
+
+
+def mixture(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 0, bits: int = 12) -> DataFrame:
+    """Per row: doc_id, source, size, source_size, target, ``whole`` (repetitions), ``part``
+    (words of one more repetition), ``taken`` (words in all)."""
+    sizes, cuts, ends = _plan(docs, weights=weights, share=share, max_epochs=max_epochs, seed=seed, bits=bits)
+    return _taken(sizes, cuts, ends).select(
         "doc_id", "source", "size", "source_size", "target", "whole", "part", (F.col("whole") * F.col("size") + F.col("part")).alias("taken")
     )
 
 
+def mix_documents(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 0, bits: int = 12) -> DataFrame:
+    """The documents as mixed: a row for each repetition, with the columns of ``docs``; the text of one taken in part
+    has the first words of the whole. Texts don't move: a row needs only its source's cut."""
+    _, cuts, ends = _plan(docs, weights=weights, share=share, max_epochs=max_epochs, seed=seed, bits=bits)
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), "doc_id", "source", "text")
+    sized = given.withColumns({"size": F.size(words_of(F.col("text"))).cast("long"), "h": _order(seed)}).withColumn("bucket", _bucket(bits))
+    took = _taken(sized, cuts, ends).withColumn("last", F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")))
+    repeats = F.concat(F.array_repeat(F.col("size"), F.col("whole").cast("int")), F.col("last"))
+    rows = took.select("given", "text", "size", F.explode(repeats).alias("n")).filter("n > 0")
+    text = F.when(F.col("n") < F.col("size"), F.array_join(F.slice(words_of(F.col("text")), 1, F.col("n").cast("int")), " ")).otherwise(F.col("text"))
+    return rows.select("given", text.alias("text"))
+
+
 def op3_mixing(spark, sf_dir):
     return mixture(documents(spark, sf_dir, "doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -274,6 +274,26 @@ def toxicity(docs: DataFrame, model: Model, *, offending: float = 0.5) -> DataFr
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, n_toxic int, spans array<struct<start: long, end: long>>")
 
 
+def keep_clean(docs: DataFrame, model: Model, *, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores below the threshold."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        m = shipped.value
+        for b in batches:
+            for i, data, offsets in portions(b.column(at), 4 << 20):
+                n = len(offsets) - 1
+                if m.curve is None:
+                    score = np.full(n, m.prior)
+                else:
+                    p, _, _, by_doc = m.marginals(data, offsets)
+                    score = m.scores(p, by_doc)
+                yield b.slice(i, n).filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_toxicity(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit_tables(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
