@@ -29,8 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.llm.arrays import portions
 from larkspur.llm.common import documents, text_of, written
-from larkspur.llm.tokens import encoder, portions
+from larkspur.llm.tokens import encoder
 
 
 class Schedule:
@@ -100,9 +101,10 @@ def encoded(docs: DataFrame, *, tokenizer: str, end_id: int, max_queues: int) ->
     def run(batches):
         part, used, enc = TaskContext.get().partitionId(), {}, encoder(tokenizer)
         for b in batches:
-            keys, queues, texts = b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()
-            for i, j in portions(texts):
-                ids, n = enc.encode_ended(texts[i:j], end_id)
+            keys, queues = b.column(0), b.column(1).to_pylist()
+            for i, data, offsets in portions(b.column(2)):
+                ids, n = enc.encode_ended(data, offsets, end_id)
+                j = i + len(n)
                 wide = bool(len(ids)) and int(ids.max()) > 65535
                 raw = memoryview(ids.astype("<u4" if wide else "<u2")).cast("B")
                 size, ends, at = 4 if wide else 2, np.cumsum(n), []
@@ -167,7 +169,8 @@ def pack(
                 a, z = np.maximum(s[row], own[w]), np.minimum(e[row], own[w + 1])
                 some = z > a
                 row, w, a, z = row[some], w[some], a[some], z[some]
-                for i, j in portions([range(x) for x in (z - a).tolist()], 1 << 19):
+                cells_of = np.searchsorted(np.cumsum(z - a), np.arange(0, int((z - a).sum()), 1 << 19)).tolist()
+                for i, j in zip(cells_of, [*cells_of[1:], len(row)], strict=True):
                     crc, out, held, ids = [], [], -1, None
                     for r, x, y in zip(row[i:j].tolist(), (a - s[row])[i:j].tolist(), (z - s[row])[i:j].tolist(), strict=True):
                         if r != held:

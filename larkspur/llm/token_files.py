@@ -19,8 +19,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspur.llm.arrays import portions
 from larkspur.llm.common import documents, new_path, text_of
-from larkspur.llm.tokens import encoder, portions
+from larkspur.llm.tokens import encoder
 
 ROW = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 
@@ -29,13 +30,13 @@ def write_token_ids(docs: DataFrame, path: str, *, tokenizer: str, end_id: int,
     def encoded(batches):
         part, start, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for i, j in portions(texts):
-                ids, n = enc.encode_ended(texts[i:j], end_id)
+            keys = batch.column(0)
+            for i, data, offsets in portions(batch.column(1)):
+                ids, n = enc.encode_ended(data, offsets, end_id)
                 ends = np.cumsum(n)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(i, j - i), pa.array(np.full(j - i, part, np.int32)), pa.array(start + ends - n), pa.array(n), lists],
+                    [keys.slice(i, len(n)), pa.array(np.full(len(n), part, np.int32)), pa.array(start + ends - n), pa.array(n), lists],
                     names=["doc_id", "part", "part_start", "n_tokens", "ids"],
                 )
                 start += int(n.sum())

@@ -1,21 +1,25 @@
 """Token ids by the ``tokenizers`` library, fast enough for corpora.
 
-A text is cut at single spaces, where none of the supported pre-tokenizers has a token across;
-each different chunk is given to the library once and its ids are then looked up. The ids
-equal those of encoding the text at once. Texts in which a space stands between other white space,
-where cutting isn't safe, and tokenizers of a form not known here are encoded whole.
+Texts are cut, a portion at a time, into words and what stands between them, at places where
+no pre-tokenizer known here has a token across. Each different piece is given to the library once; by the hash of its
+bytes its ids are looked up from then on. The ids equal those of encoding whole texts.
+
+Cutting is for texts of ASCII, Latin-1 letters and general punctuation. A word is a run of letters (an
+apostrophe before a letter counts as one) with the one blank before it. Other texts, texts with an apostrophe
+between a letter and something else than a letter or a blank, and tokenizers of another form are encoded whole.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
-from array import array
 from itertools import chain
 
 import numpy as np
-import regex
+import pyarrow as pa
+
+from larkspur.llm.arrays import U, Prefix, spans
+from larkspur.llm.arrays import portions as byte_portions
 
 
 def tokenizer_path(name: str) -> str:
@@ -27,42 +31,67 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-#: Runs of white space with a space inside: cutting there could change the tokens.
-_UNSAFE = re.compile(r"[\s\x1c-\x1f] (?:[\s\x1c-\x1f]|\Z)")
-_LATIN = "ɐ"
-#: The split of byte-level BPE, for chunks of Latin letters.
-_BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\t-\r \x85\xa0\p{L}\p{N}]+|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+")
-_WORD_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+", re.A)
-
-
-class Ids:
-    """Rows of ids, one after another; row 0 is empty."""
+class Store:
+    """Ids by the 64-bit hash of a piece: an open-addressed table of rows, rows of ids on end. Row 0 has no ids."""
+
+    def __init__(self, bits: int = 21):
+        self.bits = bits
+        self.keys, self.row_of = np.zeros(1 << bits, U), np.zeros(1 << bits, np.int32)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.ends, self.count = np.zeros(1 << 16, np.int64), 1
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Rows of the keys (none of them 0); -1 where a key isn't known."""
+        at = (keys >> U(64 - self.bits)).astype(np.int64)
+        out = np.full(len(keys), -1, np.int32)
+        left, mask = np.arange(len(keys)), (1 << self.bits) - 1
+        while len(left):
+            held = self.keys[at]
+            hit = held == keys[left]
+            out[left[hit]] = self.row_of[at[hit]]
+            on = ~hit & (held != 0)
+            left, at = left[on], (at[on] + 1) & mask
+        return out
+
+    def _place(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        at, mask = (keys >> U(64 - self.bits)).astype(np.int64), (1 << self.bits) - 1
+        while len(keys):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[free]  # of several for one slot, one gets it
+            got = free & (self.keys[at] == keys)
+            self.row_of[at[got]] = rows[got]
+            keys, rows, at = keys[~got], rows[~got], (at[~got] + 1) & mask
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Different keys that aren't known, their ids on end, and how many each has."""
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.count + len(keys) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.ends[self.count : self.count + len(keys)] = self.used + np.cumsum(sizes)
+        self._place(keys, np.arange(self.count, self.count + len(keys), dtype=np.int32))
+        self.used, self.count = self.used + len(ids), self.count + len(keys)
 
-    def __init__(self):
-        self.flat, self.ends = array("I"), array("q", [0])
-
-    def add(self, ids) -> int:
-        self.flat.extend(ids)
-        self.ends.append(len(self.flat))
-        return len(self.ends) - 1
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows on end, and how many each row has."""
+        first = self.ends[np.maximum(rows - 1, 0)]
+        n = self.ends[rows] - first
+        at = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+        return self.flat[at], n
 
-    def row(self, k: int):
-        return self.flat[self.ends[k - 1] if k else 0 : self.ends[k]]
 
-    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the given rows on end, and how many each row has."""
-        ends = np.frombuffer(self.ends, np.int64)
-        first = ends[np.maximum(rows - 1, 0)]
-        n = ends[rows] - first
-        before = np.cumsum(n) - n
-        at = np.arange(int(n.sum())) + np.repeat(first - before, n)
-        return (np.frombuffer(self.flat, np.uint32)[at] if len(at) else np.zeros(0, np.uint32)), n
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_ONE = np.uint64(1)
 
 
 class Encoder:
-    """``limit``: chunks to remember; past it the memory starts anew."""
+    """``limit``: pieces to remember; past it the memory starts anew."""
 
-    def __init__(self, name: str, limit: int = 300_000):
+    def __init__(self, name: str, limit: int = 1_400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -73,65 +102,126 @@ class Encoder:
             spec = json.load(f)
         pre, norm = spec.get("pre_tokenizer") or {}, json.dumps(spec.get("normalizer"))
         self.spaced = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and norm == "null"
-        self.worded = pre.get("type") == "Sequence" and '"invert": true' in json.dumps(pre) and '"Lowercase"' in norm and "s+" in norm
-        self.limit = limit
-        self._forget()
-
-    def _forget(self):
-        self.ids, self.chunks, self.pieces = Ids(), {"": 0}, {}
+        self.lowered = pre.get("type") == "Sequence" and '"invert": true' in json.dumps(pre) and '"Lowercase"' in norm and "s+" in norm
+        #: Stands between words that are encoded together, and has one id of its own.
+        self.between = "\n" if self.spaced else " | "
+        mark = self._whole([self.between.strip(" ")])[0]
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.limit, self.store = limit, Store()
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Chunks not seen before: cut into pieces; pieces not seen before go to the library."""
-        if self.spaced:
-            cut = {c: _BYTE_PIECES.findall(c) if max(c) < _LATIN else [c] for c in new}
-        else:
-            cut = {c: _WORD_PIECES.findall(c.lower()) if c.isascii() else [c] for c in new}
-        unseen = list({p for ps in cut.values() for p in ps if p not in self.pieces})
-        for p, ids in zip(unseen, self._whole(unseen), strict=True):
-            self.pieces[p] = array("H" if max(ids, default=0) < 65536 else "I", ids)
-        for c, ps in cut.items():
-            self.chunks[c] = self.ids.add(chain.from_iterable(map(self.pieces.__getitem__, ps)))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids on end (uint32), and how many each text has."""
-        if not (self.spaced or self.worded):
-            found = self._whole(texts)
-            return np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(x) for x in found], np.int64)
-        if len(self.chunks) + len(self.pieces) > self.limit:
-            self._forget()
-        parts, sizes, whole = [], np.zeros(len(texts), np.int64), []
-        for i, text in enumerate(texts):
-            if _UNSAFE.search(text):
-                whole.append(i)
+    def _learn(self, keys: np.ndarray, pieces: list[str], plain: np.ndarray) -> None:
+        """plain: letters only, but for a leading space; these go to the library many in one text."""
+        together, alone = np.flatnonzero(plain).tolist(), np.flatnonzero(~plain).tolist()
+        for i in range(0, len(together), 4000):
+            some = together[i : i + 4000]
+            ids = np.array(self._whole([self.between.join([pieces[k] for k in some])])[0], np.uint32) if self.mark is not None else np.zeros(0)
+            marks = np.flatnonzero(ids == self.mark)
+            if len(marks) != len(some) - 1:
+                alone += some
                 continue
-            p = text.split(" ")
-            if self.spaced and len(p) > 1:
-                p[1:] = map(" ".__add__, p[1:])
-            parts += p
-            sizes[i] = len(p)
-        rows = list(map(self.chunks.get, parts))
-        if None in rows:
-            self._learn(list({c for c, r in zip(parts, rows, strict=True) if r is None}))
-            rows = list(map(self.chunks.get, parts))
-        ids, n = self.ids.take(np.array(rows, np.int64))
-        ends = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(sizes)))]
-        lens = np.diff(ends)
-        if whole:
-            rest = dict(zip(whole, self._whole([texts[i] for i in whole]), strict=True))
-            split = [np.array(rest[i], np.uint32) if i in rest else ids[ends[i] : ends[i + 1]] for i in range(len(texts))]
+            sizes = np.diff(np.concatenate(([-1], marks, [len(ids)]))) - 1
+            self.store.add(keys[some], np.delete(ids, marks), sizes)
+        if alone:
+            found = self._whole([pieces[k] for k in alone])
+            sizes = np.array([len(x) for x in found])
+            self.store.add(keys[alone], np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
+
+    def _cut(self, data: np.ndarray, offsets: np.ndarray):
+        """Pieces [a, b), whether each is letters only but for a space, pieces before each offset, and documents not to cut."""
+        n, docs = len(data), len(offsets) - 1
+        high = data >= 0x80
+        letter = _LETTER[data]
+        bad = high.copy()
+        if high.any():
+            at = np.flatnonzero(data[:-1] == 0xC3)
+            bad[at] = bad[at + 1] = False
+            at = at[(data[at + 1] != 0x97) & (data[at + 1] != 0xB7)]
+            letter[at] = letter[at + 1] = True
+            at = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x80) & (data[2:] >= 0x90) & (data[2:] <= 0xA7))
+            bad[at] = bad[at + 1] = bad[at + 2] = False
+        blank, word = _BLANK[data], letter
+        begins = np.zeros(n + 1, bool)
+        begins[offsets] = True
+        apostrophes = np.flatnonzero(data == 39)
+        if len(apostrophes):
+            word = letter.copy()
+            led = apostrophes[(apostrophes + 1 < n)]
+            led = led[letter[led + 1] & ~begins[led + 1]]
+            word[led] = True
+            inner = led[~begins[led]]
+            bad[inner[~(letter[inner - 1] | blank[inner - 1])]] = True
+        starts, ends, _ = spans(word, offsets)
+        plain = np.ones(len(starts), bool)
+        if len(apostrophes):
+            sums = np.concatenate(([0], np.cumsum(data == 39)))
+            plain = sums[ends] == sums[starts]
+        led = np.flatnonzero(~begins[starts])
+        led = led[blank[starts[led] - 1]]
+        starts = starts.copy()
+        starts[led] -= 1
+        plain[led] &= data[starts[led]] == 32
+        marks = begins
+        marks[starts] = marks[ends] = True
+        cuts = np.flatnonzero(marks)
+        letters = np.zeros(n + 1, bool)
+        letters[starts] = plain
+        slow = np.zeros(docs, bool)
+        at = np.flatnonzero(bad)
+        slow[np.searchsorted(offsets, at, "right") - 1] = True
+        return cuts[:-1], cuts[1:], letters[cuts[:-1]], np.searchsorted(cuts, offsets), slow
+
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids on end (uint32), and how many each document has."""
+        docs = len(offsets) - 1
+        whole = lambda d: data[offsets[d] : offsets[d + 1]].tobytes().decode("utf-8", "surrogatepass")
+        if not (self.spaced or self.lowered):
+            found = self._whole([whole(d) for d in range(docs)])
+            return np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(x) for x in found], np.int64)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(docs, np.int64)
+        if self.store.count > self.limit:
+            self.store = Store()
+        a, b, plain, by_doc, slow = self._cut(data, offsets)
+        if self.lowered:
+            upper = (data >= 65) & (data <= 90)
+            upper[1:] |= (data[:-1] == 0xC3) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+            data = np.where(upper, data + np.uint8(32), data)
+        keys = np.maximum(Prefix(data).hashes(a, b), _ONE)
+        use = np.repeat(~slow, np.diff(by_doc)) if slow.any() else np.ones(len(a), bool)
+        rows = np.zeros(len(a), np.int32)
+        rows[use] = self.store.get(keys[use])
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            fresh, at = np.unique(keys[new], return_index=True)
+            at = new[at]
+            raw = data.tobytes()
+            pieces = [raw[x:y].decode() for x, y in zip(a[at].tolist(), b[at].tolist(), strict=True)]
+            self._learn(fresh, pieces, plain[at])
+            rows[new] = self.store.get(keys[new])
+        ids, n = self.store.take(rows)
+        ends = np.concatenate(([0], np.cumsum(n)))[by_doc]
+        n = np.diff(ends)
+        if slow.any():
+            at = np.flatnonzero(slow).tolist()
+            rest = dict(zip(at, self._whole([whole(d) for d in at]), strict=True))
+            split = [np.array(rest[d], np.uint32) if d in rest else ids[ends[d] : ends[d + 1]] for d in range(docs)]
             return np.concatenate(split), np.array([len(x) for x in split], np.int64)
-        return ids, lens
+        return ids, n
 
-    def encode_ended(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """As encode(), with the id ``end`` after each text."""
-        ids, n = self.encode(texts)
+    def encode_ended(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """As encode_bytes(), with the id ``end`` after each document."""
+        ids, n = self.encode_bytes(data, offsets)
         out = np.full(len(ids) + len(n), end, np.uint32)
         out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
         return out, n + 1
 
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.encode_bytes(data, offsets) for _, data, offsets in byte_portions(pa.array(texts, pa.large_string()))]
+        return (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -141,15 +231,3 @@ def encoder(name: str) -> Encoder:
     if name not in _ENCODERS:
         _ENCODERS[name] = Encoder(name)
     return _ENCODERS[name]
-
-
-def portions(texts, most_chars: int = 1 << 20):
-    """(from, to) over a list of texts, of about ``most_chars`` each; a longer text is alone."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        if i > start and total + len(t) > most_chars:
-            yield start, i
-            start, total = i, 0
-        total += len(t)
-    if start < len(texts):
-        yield start, len(texts)
