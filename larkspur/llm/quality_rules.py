@@ -142,5 +142,32 @@ def op1_quality_rules(spark, sf_dir):
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    notices = "|".join(p.replace("(", r"\(").replace(")", r"\)") for p in BOILERPLATE)
+    blank = r"[\x20\x09-\x0D]"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '{blank}+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d)),
+twice AS (SELECT doc_id, k FROM w GROUP BY doc_id, k HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT w.doc_id, unnest(range(i, i + 8)) AS p FROM w JOIN twice USING (doc_id, k)) GROUP BY doc_id),
+l AS (SELECT doc_id, line, regexp_replace(line, '^{blank}+|{blank}+$', '', 'g') AS b FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+j AS (SELECT *, length(b) - length(regexp_replace(b, '{blank}', '', 'g')) + 1 AS n, length(b) - length(regexp_replace(b, '[#*$%&|<>]', '', 'g')) AS symbols,
+             length(b) - length(replace(b, '!', '')) AS shouts, length(b) - length(replace(b, '|', '')) AS bars FROM l),
+v AS (SELECT *, b = '' OR ((n >= 30 OR regexp_matches(b, {quoted("[.!?…。！？:;,]" + '["' + "'" + "”’»)\\]]*$")}))
+             AND symbols * 10 <= length(b) AND shouts * 3 <= n + 2 AND n >= 1 AND bars * 10 < n + 10 AND lower(b) NOT IN ({", ".join(map(quoted, NAVIGATION))})
+             AND (n >= 30 OR NOT regexp_matches(lower(b), {quoted(notices)}))) AS ok FROM j),
+g AS (SELECT doc_id, count(*) FILTER (b <> '') - count(DISTINCT line) FILTER (b <> '') AS dup,
+             coalesce(sum(length(regexp_replace(line, '{blank}', '', 'g'))) FILTER (ok), 0) AS clean FROM v GROUP BY doc_id),
+c AS (SELECT d.doc_id, len(ws) AS n_words, length(regexp_replace(t, '{blank}', '', 'g')) AS word_chars,
+             length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, dup, clean, coalesce(rep.n, 0) AS reps
+      FROM d JOIN g ON d.doc_id = g.doc_id LEFT JOIN rep ON d.doc_id = rep.doc_id),
+f AS (SELECT *, n_words < 20 OR 100 * reps > 30 * n_words AS base_failed FROM c)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(dup AS BIGINT) AS n_dup_lines,
+       CAST(reps AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND (word_chars = 0 OR 1 - clean / word_chars <= 0.5) AS kept
+FROM f
+"""
+
+
 QUERIES = {"op1_quality_rules": op1_quality_rules}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op1_quality_rules": _sql()}

@@ -207,5 +207,22 @@ def op7_suffix_dedup(spark, sf_dir):
     return suffix_dedup(documents(spark, sf_dir, "doc_id", "text")).drop("spans", "kept")
 
 
+_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, b[i:i + 49] AS k FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 48)) AS i FROM d)),
+least AS (SELECT k, min(doc_id) AS m FROM w GROUP BY k HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, i FROM w JOIN least USING (k) WHERE doc_id > m),
+cut AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+run AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM cut),
+span AS (SELECT doc_id, nth, min(i) AS a, max(i) + 49 AS z FROM run GROUP BY doc_id, nth),
+gap AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS a, a - 1 AS z FROM span
+        UNION ALL SELECT span.doc_id, max(z) + 1, max(octet_length(b)) FROM span JOIN d USING (doc_id) GROUP BY span.doc_id),
+part AS (SELECT gap.doc_id, gap.a, substr(hex(b), CAST(2 * gap.a - 1 AS BIGINT), CAST(2 * (gap.z - gap.a + 1) AS BIGINT)) AS h FROM gap JOIN d USING (doc_id) WHERE gap.z >= gap.a),
+kept AS (SELECT doc_id, string_agg(h, '' ORDER BY a) AS h FROM part GROUP BY doc_id),
+n AS (SELECT doc_id, sum(z - a + 1) AS removed, count(*) AS spans FROM span GROUP BY doc_id)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       CASE WHEN removed IS NULL THEN sha256(b) ELSE sha256(unhex(coalesce(h, ''))) END AS kept_sha256
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
 QUERIES = {"op7_suffix_dedup": op7_suffix_dedup}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op7_suffix_dedup": _SQL}
