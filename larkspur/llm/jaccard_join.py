@@ -2,11 +2,11 @@
 
 A document is the set of its ``shingle``-word shingles (64-bit hashes). All sets are ordered alike, rare shingles first:
 by a frequency sketch of fixed size over the whole corpus, then by hash. Two sets can only reach the similarity
-if they share a shingle within their first n - ceil(t n) + 1; those prefixes meet in buckets (see
+if they share a shingle within their first n - ceil(t n) + 1, the first of which leaves enough to follow; those prefixes meet in buckets (see
 anchors), which answer with the shingles that several documents hold.
 
 Equal sets collapse to one before anything is compared. Then, in rounds, each shared shingle names pivots among its documents,
-four at first and four times as many each round, and every document of another component is compared with them.
+the one with most shared shingles and four others at first, four times as many each round, and every document of another component is compared with them.
 Comparing is a walk of a prefix tree: the documents to compare with a pivot are stored as
 a trie of their ordered shingles (sorted, with the length of the path shared with the one before); the walk
 carries the overlap along shared paths and leaves a subtree once the shingles that remain can't make up the
@@ -248,30 +248,37 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80)
     copies = reps.filter("did != rep").select("did").distinct()
 
     shared = shared_runs(base, _prefixes(shingle, percent, sketch), symbols=total * (100 - percent) // 100 + 1, across=True)
-    shared = shared.join(copies, "did", "left_anti").select("did", "anchor", "n")
-    rows_left = written(shared.withColumn("comp", F.col("did")), "prefixes")
+    shared = written(shared.join(copies, "did", "left_anti").select("did", "anchor", "n", F.col("first").alias("place")), "shared")
+    # Documents with many shared shingles in their prefix are the middle of a group: good pivots.
+    degrees = shared.groupBy("did").agg(F.count(F.lit(1)).alias("degree"))
+    rows_left = written(shared.join(degrees, "did").withColumn("comp", F.col("did")), "prefixes")
     texts = written(base.join(rows_left.select("did").distinct(), "did", "left_semi").select("did", "text"), "texts")
     comp = None
     pivots = 4
     # Each round takes four times as many pivots; when all documents of a shingle are pivots nothing is left.
     while True:
-        sizes = rows_left.groupBy("anchor").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-        sizes = sizes.filter("low != high").select("anchor", "size")
-        live = rows_left.join(sizes, "anchor").withColumn("pivot", F.pmod(F.xxhash64(F.lit(3), "did"), F.lit(1 << 30)) * F.col("size") < F.lit(pivots << 30))
-        live = written(live, "live")
+        middle = F.max(F.struct("degree", "did")).alias("middle")
+        sizes = rows_left.groupBy("anchor").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), middle)
+        sizes = sizes.filter("low != high").select("anchor", "size", F.col("middle.did").alias("middle"))
+        drawn = F.pmod(F.xxhash64(F.lit(3), "did"), F.lit(1 << 30)) * F.col("size") < F.lit(pivots << 30)
+        live = written(rows_left.join(sizes, "anchor").withColumn("pivot", drawn | (F.col("did") == F.col("middle"))).drop("middle"), "live")
         if not live.limit(1).count():
             break
         a, b = live.filter("pivot").alias("a"), live.alias("b")
         apart = (F.col("a.anchor") == F.col("b.anchor")) & (F.col("a.comp") != F.col("b.comp"))
         sizes_fit = (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & (~F.col("b.pivot") | (F.col("a.did") < F.col("b.did")))
-        pairs = written(a.join(b, apart & sizes_fit).select(F.col("a.did").alias("a"), F.col("b.did").alias("b")).distinct(), "pairs")
+        # At the first shingle that two sets share, only what follows can be shared as well. (At a later one
+        # the bound is too low, but then the pair is told by the first.)
+        follow = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+        enough = (100 + percent) * follow >= percent * (F.col("a.n") + F.col("b.n"))
+        pairs = written(a.join(b, apart & sizes_fit & enough).select(F.col("a.did").alias("a"), F.col("b.did").alias("b")).distinct(), "pairs")
         links.append(written(similar_pairs(pairs, texts, shingle=shingle, percent=percent, sketch=sketch), "links"))
         edges = links[0]
         for x in links[1:]:
             edges = edges.union(x)
         comp = components(edges)
-        left = live.filter(~F.col("pivot")).select("did", "anchor", "n")
-        rows_left = left.join(comp, F.col("did") == F.col("node"), "left").select("did", "anchor", "n", F.coalesce("comp", "did").alias("comp"))
+        left = live.filter(~F.col("pivot")).select("did", "anchor", "n", "place", "degree")
+        rows_left = left.join(comp, F.col("did") == F.col("node"), "left").select("did", "anchor", "n", "place", "degree", F.coalesce("comp", "did").alias("comp"))
         rows_left = written(rows_left, "prefixes")
         pivots *= 4
     if comp is None:
