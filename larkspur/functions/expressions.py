@@ -210,3 +210,8 @@ def predicate(e: Expr | str, types: dict[str, Type | None]) -> Column:
     if kind != BOOL:
         raise TypeMismatch(f"a predicate is a bool, {e} is a {kind.name}")
     return column
+
+
+def hashed(e: Expr | str, types: dict[str, Type | None]) -> Column:
+    """A 64-bit hash of an expression's value; equal values of one type have equal hashes."""
+    return F.xxhash64(compile_expr(e, types)[0])

@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions.types import schema
+from larkspur.functions.expressions import hashed
+from larkspur.functions.types import schema, types_of
 from larkspur.operators import aggregate, hash_join, merge_sorted, range_selection, selection, sort, sort_merge_join, sort_partitions
 from larkspur.session import Session
 from larkspur.sources.tables import statistics
@@ -134,6 +135,12 @@ def coerce_output(spark, d):
     return selection(t(spark, d, "supplier"), projections=["[s_suppkey]", "[s_acctbal]", "[s_acctbal]", "> ([s_acctbal], int[0])"], schema=schema(("k", "double"), ("whole", "int"), ("shown", "string"), ("flag", "string")))
 
 
+@query("SELECT CAST(count(DISTINCT c_mktsegment) AS BIGINT) AS n FROM customer")
+def hash_values(spark, d):
+    c = t(spark, d, "customer")
+    return c.select(hashed("[c_mktsegment]", types_of(c)).alias("h")).distinct().agg(F.count(F.lit(1)).alias("n"))
+
+
 # Key ranges
 
 
