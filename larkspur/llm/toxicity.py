@@ -232,7 +232,7 @@ def fit(texts: list[str], toxic: list[int], *, share: float | None = None, min_d
     return model
 
 
-def fit_tables(docs: DataFrame, labels: DataFrame, *, max_per_class: int = 1500) -> Model:
+def fit_tables(docs: DataFrame, labels: DataFrame, *, max_per_class: int = 1000) -> Model:
     """Fits on at most ``max_per_class`` labelled documents of either label whose crc32(doc_id) mod 5 isn't 0."""
     chosen = labels.select("doc_id", F.col("toxic").alias("y")).filter(F.col("y").isin(0, 1) & (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)).distinct()
     by_hash = (F.xxhash64("doc_id"), F.col("doc_id"))
