@@ -176,8 +176,14 @@ def fit(texts: list[str], toxic: list[int], *, share: float | None = None, min_d
     y = np.array(toxic, np.int64)
     if not len(y) or y.min() == y.max():
         return Model(prior=float(y.mean()) if len(y) else 0.5)
-    (_, data, offsets), = list(portions(pa.array(texts, pa.large_string()), 1 << 62))
-    keys, _, _, by_doc = token_keys(data, offsets)
+    parts, counts = [], []
+    for _, data, offsets in portions(pa.array(texts, pa.large_string())):  # the driver holds the keys of tokens, not what it takes to find them
+        k, _, _, at = token_keys(data, offsets)
+        parts.append(k)
+        counts.append(np.diff(at))
+    keys = [np.concatenate(k) for k in zip(*parts, strict=True)]
+    by_doc = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+    del parts
     doc = np.repeat(np.arange(len(y)), np.diff(by_doc))
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     tables = []
