@@ -39,7 +39,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 in five-word shingles, the one with the least doc_id stays."""
     docs = docs.select(*COLUMNS)
     found = jaccard_components(docs, shingle=5, percent=80)
-    gone = written(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("did"), "gone").withColumnRenamed("did", "gone_id")
+    gone = written(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("did"), "gone").withColumnRenamed("did", "gone_id").hint("shuffle_hash")
     return docs.withColumn("did", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(gone, F.col("did") == F.col("gone_id"), "left_anti").select(*COLUMNS)
 
 
