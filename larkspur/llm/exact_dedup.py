@@ -51,7 +51,7 @@ def exact_dedup(docs: DataFrame, *, capacity: int = 4096) -> DataFrame:
     base = docs.select("doc_id", text_of(docs).alias("t"))
     hashed = base.withColumn("h", F.xxhash64("t"))
     index = hash_index(hashed.select("h"), rows=docs.count(), capacity=capacity)
-    shared = index.filter("n > 1").select("h")
+    shared = index.filter("n > 1").select("h").hint("shuffle_hash")  # one plan at every size
     chains = (
         hashed.join(shared, "h")
         .groupBy("h", "t")
@@ -60,6 +60,7 @@ def exact_dedup(docs: DataFrame, *, capacity: int = 4096) -> DataFrame:
         .agg(F.collect_list(F.struct("t", "keep_id", "group_size")).alias("chain"))
         .withColumnRenamed("h", "chain_h")
     )
+    chains = written(chains, "chains")  # of known size; and the rows of a frequent text can be split in the join
     both = hashed.join(chains, F.col("h") == F.col("chain_h"), "left")
     entry = F.transform(F.arrays_zip(F.array("t"), F.array("chain")), lambda z: F.filter(z["1"], lambda c: c["t"] == z["0"]).getItem(0)).getItem(0)
     found = both.select(
