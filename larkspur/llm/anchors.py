@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.arrays import U, by_document, mix, portions, sliding_min
+from larkspur.llm.arrays import U, by_document, mix, portions, release, sliding_min
+from larkspur.llm.common import written
 
 MANY = 32
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Places of one anchor beyond which they aren't compared within a task.
 CROWD = 20_000
 PLACE, HERALD, KNOWN = 0, 1, 2
@@ -139,15 +140,18 @@ def shared_runs(docs: DataFrame, finder: Finder, *, symbols: int, across: bool)
         rows, held = [], 0
         for b in batches:
             ids = b.column(0).to_numpy()
-            for i, data, offsets in portions(b.column(1)):
+            for i, data, offsets in portions(b.column(1), 1 << 18):
                 anchor, doc, first, n = finder(data, offsets)
                 rows.append((ids[i + doc], anchor, first, n))
                 held += len(anchor)
                 if held >= CHUNK:
                     yield from _deal(rows, buckets)
                     rows, held = [], 0
+                    release()
         if held:
             yield from _deal(rows, buckets)
+        rows = []
+        release()
 
     def judge(batches):
         now, blobs = None, []
@@ -156,21 +160,43 @@ def shared_runs(docs: DataFrame, finder: Finder, *, symbols: int, across: bool)
                 if k != now and blobs:
                     yield from _judge(blobs, across)
                     blobs = []
+                    release()
                 now = k
                 blobs.append((blob, ids))
         if blobs:
             yield from _judge(blobs, across)
+        blobs = []
+        release()
 
     dealt = docs.select("did", "text").mapInArrow(deal, "bucket int, blob binary, ids binary")
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(judge, RUNS)
 
 
-def with_runs(docs: DataFrame, runs: DataFrame, *also) -> DataFrame:
-    """docs (did, doc_id, text, ...) with their runs: ``runs`` [(first, n, anchor, crowded)], null where there are none,
-    and the text only where there are some; ``also``: columns computed from the text for all rows."""
-    lists = runs.groupBy("did").agg(F.sort_array(F.collect_list(F.struct("first", "n", "anchor", "crowded"))).alias("runs"))
-    both = docs.join(lists.withColumnRenamed("did", "r_did"), F.col("did") == F.col("r_did"), "left")
-    return both.select("did", "doc_id", *also, F.when(F.col("runs").isNotNull(), F.col("text")).alias("text"), "runs")
+def exact_copies(docs: DataFrame) -> DataFrame:
+    """docs: did, text. -> c_did, ``copies``: hashes of those of its texts that an earlier did has as well; ``only``: it has no other.
+
+    Texts are compared by length and two hashes.
+    """
+    prints = [F.octet_length("text"), F.xxhash64("text"), F.xxhash64(F.lit(7), "text")]
+    hashed = docs.select("did", *[p.alias(f"p{k}") for k, p in enumerate(prints)])
+    firsts = hashed.groupBy("p0", "p1", "p2").agg(F.min("did").alias("least"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    copy = F.coalesce(F.col("did") > F.col("least"), F.lit(False))
+    marked = hashed.join(firsts, ["p0", "p1", "p2"], "left").groupBy(F.col("did").alias("c_did"))
+    found = marked.agg(F.collect_set(F.when(copy, F.col("p1"))).alias("copies"), F.min(copy).alias("only"))
+    return written(found.filter(F.size("copies") > 0), "copies")
+
+
+def with_runs(docs: DataFrame, runs: DataFrame, copies: DataFrame, *also) -> DataFrame:
+    """docs (did, doc_id, text) with ``also`` (columns computed from the text), ``copy`` (an earlier did has the same text) and, for others, their
+    ``runs`` [(first, n, anchor, crowded)], null where there are none; the text only where there are some. Texts move once."""
+    runs = runs.join(copies.filter("only"), F.col("did") == F.col("c_did"), "left_anti")
+    lists = runs.groupBy(F.col("did").alias("r_did")).agg(F.sort_array(F.collect_list(F.struct("first", "n", "anchor", "crowded"))).alias("runs"))
+    marks = lists.join(copies, F.col("r_did") == F.col("c_did"), "full").select(F.coalesce("r_did", "c_did").alias("m_did"), "runs", "copies")
+    both = docs.join(marks, F.col("did") == F.col("m_did"), "left")
+    copy = F.coalesce(F.array_contains("copies", F.xxhash64("text")), F.lit(False))
+    both = both.select("did", "doc_id", "text", *also, copy.alias("copy"), "runs")
+    use = F.col("runs").isNotNull() & ~F.col("copy")
+    return both.withColumns({"text": F.when(use, F.col("text")), "runs": F.when(use, F.col("runs"))})
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ afterwards, so any stretch of a portion is hashed in constant time.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -32,6 +34,15 @@ class _Powers:
 _BYTES, _WORDS = _Powers(_P), _Powers(_Q)
 
 
+def release() -> None:
+    """Gives memory that is free back to the system; a worker outlives the step that needed most."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers whose every bit depends on all bits."""
     with np.errstate(over="ignore"):

@@ -252,7 +252,9 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80)
     # Documents with many shared shingles in their prefix are the middle of a group: good pivots.
     degrees = shared.groupBy("did").agg(F.count(F.lit(1)).alias("degree"))
     rows_left = written(shared.join(degrees, "did").withColumn("comp", F.col("did")), "prefixes")
-    texts = written(base.join(rows_left.select("did").distinct(), "did", "left_semi").select("did", "text"), "texts")
+    # One plan at every size: the texts move once, also where the list of candidates would be small enough to broadcast.
+    some = rows_left.select("did").distinct().hint("shuffle_hash")
+    texts = written(base.join(some, "did", "left_semi").select("did", "text"), "texts")
     comp = None
     pivots = 4
     # Each round takes four times as many pivots; when all documents of a shingle are pivots nothing is left.

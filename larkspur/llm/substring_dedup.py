@@ -1,10 +1,10 @@
 """Substring dedup: seed and extend over words.
 
-Seeds are winnowed anchors (see anchors): two stretches of ``window`` equal words share one. Documents meet on equal
+Exact copies of earlier documents are settled by hash. Seeds are winnowed anchors (see anchors): two stretches of ``window`` equal words share one. Documents meet on equal
 seeds. Around each seed the windows that hold it, to its left and to its right, are compared by
 hash with all others: a match extends as far as the windows agree. Windows that occur earlier, joined where they
-touch, are the maximal repeats over the threshold; their words go. The least place of a window's
-hash is an aggregate that combines before the shuffle, so a passage in any share of the documents is no burden.
+touch, are the maximal repeats over the threshold; their words go. Of a portion of documents only the first place of a window
+is sent, so a passage in any share of the documents is no burden.
 
 Words and windows are compared by 64-bit hashes.
 
@@ -19,10 +19,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.anchors import keyed, least_grams, shared_runs, with_runs
+from larkspur.llm.anchors import exact_copies, keyed, least_grams, shared_runs, with_runs
 from larkspur.llm.arrays import Prefix, portions, word_prefix, words
 from larkspur.llm.common import documents, words_of, written
 
@@ -46,19 +46,15 @@ def _places(window: int, gram: int):
 
 
 def earlier_windows(docs: DataFrame, *, window: int) -> tuple[DataFrame, DataFrame]:
-    """(per document: did, row, doc_id, n_words, whole_sha, text or null; did, row, ``at``: starts of windows that occur earlier)."""
+    """(per document: did, row, doc_id, n_words, whole_sha, text or null; did, tag (of row), ``at``: starts of windows that occur earlier)."""
     gram = min(GRAM, window)
     base = keyed(docs)
     size = base.agg(F.sum(F.length("text"))).first()[0] or 0
     runs = shared_runs(base, _places(window, gram), symbols=size // 40, across=False)
     ws = words_of(F.col("text"))
-    table = written(
-        with_runs(
-            base, written(runs, "runs").drop("anchor", "crowded").withColumns({"anchor": F.lit(0), "crowded": F.lit(False)}),
-            F.xxhash64("text").alias("row"), F.size(ws).cast("long").alias("n_words"), F.sha2(F.array_join(ws, " "), 256).alias("whole_sha"),
-        ),
-        "documents",
-    )
+    runs = runs.withColumns({"anchor": F.lit(0), "crowded": F.lit(False)})
+    also = F.xxhash64("text").alias("row"), F.size(ws).cast("long").alias("n_words"), F.sha2(F.array_join(ws, " "), 256).alias("whole_sha")
+    table = written(with_runs(base, written(runs, "runs"), exact_copies(base), *also), "documents")
 
     def windows(batches):
         for b in batches:
@@ -77,31 +73,45 @@ def earlier_windows(docs: DataFrame, *, window: int) -> tuple[DataFrame, DataFra
                 inside = at + window <= np.diff(by_doc)[doc]  # runs of another row of the same doc_id may not fit
                 at, doc = at[inside], doc[inside]
                 s = at + by_doc[:-1][doc]
-                rows = pa.array(doc + i)
-                for k in range(0, len(s), 100_000):
+                w, did = prefix.hashes(s, s + window), b.column(0).to_numpy()[i:][doc]
+                place = (at << 16) | (b.column(1).to_numpy()[i:][doc] & 0xFFFF)
+                # Of a portion's places of one window only the first can be the first of all.
+                order = np.lexsort((place, did, w))
+                w, did, place = w[order], did[order], place[order]
+                new = np.ones(len(w), bool)
+                new[1:] = w[1:] != w[:-1]
+                lead = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
+                later = (did > did[lead]) | (place >> 16 > place[lead] >> 16)
+                for k in range(0, len(w), 100_000):
                     z = slice(k, k + 100_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(prefix.hashes(s[z], s[z] + window).view(np.int64)), b.column(0).take(rows[z]), b.column(1).take(rows[z]), pa.array(at[z].astype(np.int32))],
-                        names=["w", "did", "row", "at"],
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(x[z]) for x in (w.view(np.int64), did, place, later)], names=["w", "did", "place", "later"])
 
     some = table.filter(F.col("runs").isNotNull()).select("did", "row", "text", F.transform("runs", lambda r: F.struct(r["first"].alias("first"), r["n"].alias("n"))).alias("runs"))
-    seen = some.mapInArrow(windows, "w long, did long, row long, at int")
-    least = seen.groupBy("w").agg(F.min(F.struct("did", "at")).alias("least"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-    later = seen.join(least, "w").filter(F.struct("did", "at") > F.col("least"))
-    return table, later.select("did", "row", "at")
+    # place: the window's start, and 16 bits of ``row`` to tell rows of one doc_id apart.
+    seen = some.mapInArrow(windows, "w long, did long, place long, later boolean")
+    firsts = seen.filter("NOT later").select("w", "did", "place")
+    start = lambda c: F.shiftright(c, 16)
+    # One exchange: a portion sends a window once, and the first place of each streams through the sorted partition.
+    ordered = Window.partitionBy("w").orderBy("did", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    led = firsts.withColumns({"first_did": F.first("did").over(ordered), "first_at": start(F.first("place").over(ordered))})
+    later = led.filter((F.col("did") > F.col("first_did")) | (start("place") > F.col("first_at")))
+    hits = later.select("did", "place").union(seen.filter("later").select("did", "place"))
+    return table, hits.select("did", F.col("place").bitwiseAND(F.lit(0xFFFF)).alias("tag"), start("place").cast("int").alias("at"))
 
 
 def substring_dedup(docs: DataFrame, *, window: int = 20) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256, ``spans`` [(start, end)] of the removed repeats in
     words, and ``kept_text`` where words went (null: the text is as it was)."""
     table, later = earlier_windows(docs, window=window)
-    lists = later.groupBy("did", "row").agg(F.array_sort(F.collect_set("at")).alias("at")).withColumnsRenamed({"did": "l_did", "row": "l_row"})
+    lists = later.groupBy("did", "tag").agg(F.array_sort(F.collect_set("at")).alias("at")).withColumnsRenamed({"did": "l_did", "tag": "l_tag"})
 
     def cut(batches):
         for b in batches:
             out = []
-            for text, at in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+            for size, text, at, copy in zip(*(b.column(k).to_pylist() for k in (2, 4, 5, 6)), strict=True):
+                if copy and size >= window:
+                    out.append((size, hashlib.sha256(b"").hexdigest(), [{"start": 0, "end": size}], ""))
+                    continue
                 if not at:
                     out.append((0, None, [], None))
                     continue
@@ -126,8 +136,8 @@ def substring_dedup(docs: DataFrame, *, window: int = 20) -> DataFrame:
                 names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept_text"],
             )
 
-    both = table.drop("runs").join(lists, (F.col("did") == F.col("l_did")) & (F.col("row") == F.col("l_row")), "left")
-    return both.select("doc_id", "row", "n_words", "whole_sha", "text", "at").mapInArrow(
+    both = table.drop("runs").join(lists, (F.col("did") == F.col("l_did")) & (F.col("row").bitwiseAND(F.lit(0xFFFF)) == F.col("l_tag")), "left")
+    return both.select("doc_id", "row", "n_words", "whole_sha", "text", "at", "copy").mapInArrow(
         cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start: long, end: long>>, kept_text string"
     )
 
@@ -136,5 +146,16 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_dedup(documents(spark, sf_dir, "doc_id", "text")).drop("spans", "kept_text")
 
 
+_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS nth FROM w) WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later),
+word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+m AS (SELECT word.*, gone.p IS NOT NULL AS out FROM word LEFT JOIN gone USING (doc_id, p)),
+s AS (SELECT doc_id, count(*) FILTER (out) AS n, string_agg(word, ' ' ORDER BY p) FILTER (NOT out) AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id
+"""
 QUERIES = {"op10_substring_dedup": op10_substring_dedup}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op10_substring_dedup": _SQL}

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.anchors import keyed, least_grams, shared_runs, with_runs
-from larkspur.llm.arrays import Prefix, portions
+from larkspur.llm.anchors import exact_copies, keyed, least_grams, shared_runs, with_runs
+from larkspur.llm.arrays import Prefix, portions, release
 from larkspur.llm.common import documents, written
 
 GRAM = 20
@@ -91,21 +91,12 @@ def repeated_spans(docs: DataFrame, *, window: int) -> tuple[DataFrame, DataFram
     """(per row: did, row, doc_id, n_bytes, copy, whole_sha, text or null; did, row, start, end: bytes to remove, which may overlap)."""
     gram = min(GRAM, window)
     base = keyed(docs)
-    prints = [F.octet_length("text"), F.xxhash64("text"), F.xxhash64(F.lit(7), "text")]
-    hashed = base.select("did", *[p.alias(f"p{k}") for k, p in enumerate(prints)])
-    firsts = hashed.groupBy("p0", "p1", "p2").agg(F.min("did").alias("least"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-    copies = written(hashed.join(firsts, ["p0", "p1", "p2"]).filter(F.col("did") > F.col("least")).select(F.col("did").alias("c_did"), F.col("p1").alias("c_row")).distinct(), "copies")
+    copies = exact_copies(base)
     size = base.agg(F.sum(F.length("text"))).first()[0] or 0
     runs = written(shared_runs(base, _places(window, gram), symbols=size // 14, across=True), "runs")
-    every = base.join(copies, (F.col("did") == F.col("c_did")) & (F.xxhash64("text") == F.col("c_row")), "left")
-    table = written(
-        with_runs(
-            every, runs.join(copies, F.col("did") == F.col("c_did"), "left_anti"), F.xxhash64("text").alias("row"), prints[0].cast("long").alias("n_bytes"),
-            F.col("c_did").isNotNull().alias("copy"), F.sha2("text", 256).alias("whole_sha"),
-        ),
-        "documents",
-    )
-    some = table.filter(F.col("runs").isNotNull() & ~F.col("copy")).select("did", "row", "text", "runs")
+    also = F.xxhash64("text").alias("row"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole_sha")
+    table = written(with_runs(base, runs, copies, *also), "documents")
+    some = table.filter(F.col("runs").isNotNull()).select("did", "row", "text", "runs")
 
     def segments(crowded: bool):
         def cut(batches):
@@ -149,6 +140,7 @@ def repeated_spans(docs: DataFrame, *, window: int) -> tuple[DataFrame, DataFram
                 if anchor != last and size >= SORTED_BYTES:
                     yield _compare(held, window)
                     held, size = [], 0
+                    release()
                 last = anchor
                 held.append(segment)
                 size += len(segment[3])
@@ -160,7 +152,7 @@ def repeated_spans(docs: DataFrame, *, window: int) -> tuple[DataFrame, DataFram
     many = some.mapInArrow(segments(True), "w long, did long, row long, at long")
     least = many.groupBy("w").agg(F.min("did").alias("least"), F.max("did").alias("most")).filter("least < most").drop("most")
     crowd = many.join(least, "w").filter("did > least").select("did", "row", F.col("at").alias("start"), (F.col("at") + window).alias("end"))
-    return table, found.union(crowd)
+    return table, written(found.union(crowd), "spans")
 
 
 def suffix_dedup(docs: DataFrame, *, window: int = 50) -> DataFrame:
