@@ -6,7 +6,8 @@ bytes its ids are looked up from then on. The ids equal those of encoding whole
 
 Cutting is for texts of ASCII, Latin-1 letters and general punctuation. A word is a run of letters (an
 apostrophe before a letter counts as one) with the one blank before it. Other texts, texts with an apostrophe
-between a letter and something else than a letter or a blank, and tokenizers of another form are encoded whole.
+between a letter and something else than a letter or a blank, texts that hold an added token (such as
+``<|endoftext|>``, which the library gives one id), and tokenizers of another form are encoded whole.
 """
 
 from __future__ import annotations
@@ -97,12 +98,15 @@ class Encoder:
 
         path = tokenizer_path(name)
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, norm = spec.get("pre_tokenizer") or {}, json.dumps(spec.get("normalizer"))
         self.spaced = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and norm == "null"
         self.lowered = pre.get("type") == "Sequence" and '"invert": true' in json.dumps(pre) and '"Lowercase"' in norm and "s+" in norm
+        added = [t for t in spec.get("added_tokens") or [] if t["content"]]
+        if any((t.get("normalized") and norm != "null") or all(c.isalnum() or c.isspace() or c == "|" for c in t["content"]) for t in added):
+            self.spaced = self.lowered = False  # found in other forms too, or across words that are encoded together
+        self.added = [t["content"].encode() for t in added]
         #: Stands between words that are encoded together, and has one id of its own.
         self.between = "\n" if self.spaced else " | "
         mark = self._whole([self.between.strip(" ")])[0]
@@ -185,6 +189,12 @@ class Encoder:
         if self.store.count > self.limit:
             self.store = Store()
         a, b, plain, by_doc, slow = self._cut(data, offsets)
+        raw = data.tobytes()
+        for content in self.added:
+            at = raw.find(content)
+            while at >= 0:
+                slow[np.searchsorted(offsets, at, "right") - 1] = True
+                at = raw.find(content, at + 1)
         if self.lowered:
             upper = (data >= 65) & (data <= 90)
             upper[1:] |= (data[:-1] == 0xC3) & (data[1:] <= 0x9E) & (data[1:] != 0x97)

@@ -3,10 +3,11 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from larkspur.llm.arrays import portions
 from larkspur.llm.packing import Schedule
-from larkspur.llm.tokens import Encoder
+from larkspur.llm.tokens import Encoder, tokenizer_path
 
 NAMES = ("byte_bpe_50k.json", "word_bpe_49k.json")
 ENCODERS = {n: Encoder(n, limit=400) for n in NAMES}
@@ -32,6 +33,17 @@ def test_ids_equal_those_of_whole_texts(name, texts):
     assert ended.tolist() == [i for x in whole for i in [*x, 7]] and m.tolist() == [len(x) + 1 for x in whole]
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_added_tokens_are_those_of_the_library_as_loaded(name):
+    fresh = Tokenizer.from_file(tokenizer_path(name))
+    texts = ["the end<|endoftext|> next", "plain words", "", "<|startoftext|>a", "<|endoftext|><|endoftext|>", "THE <|ENDOFTEXT|> end", "<|endof", "text|> apart"]
+    ids, n = Encoder(name).encode(texts)
+    whole = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(whole[0]) == 4
+    assert n.tolist() == [len(x) for x in whole]
+    assert ids.tolist() == [i for x in whole for i in x]
+
+
 @settings(max_examples=200, deadline=None)
 @given(
     counts=st.lists(st.integers(1, 300), min_size=1, max_size=7),
