@@ -15,8 +15,10 @@ themselves at their weights. By default a queue's target is its share of all tok
 windows have the same mixture to the end. Only the last window can be short.
 
 Defined cases: a null text is the empty text, of the end id alone; null is a source of its own;
-rows that repeat are packed each; an empty table gives no pieces. Beyond ``max_queues`` sources, sources
-share queues by hash.
+rows that repeat are packed each; an empty table gives no pieces.
+
+Every source has a queue of its own, however many there are. Beyond ``max_queues`` sources the order is made in tiers
+(``Tiers``): groups of queues by the closed form, then the queues of a group by the same form.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,12 +37,20 @@ from larkspur.llm.common import documents, text_of, written
 from larkspur.llm.tokens import encoder
 
 
+EXACT = 1_400_000_000  # below it products of two counts fit 64 bits
+
+
+def _below(n: np.ndarray, total: int, x: np.ndarray) -> np.ndarray:
+    """Tokens of each queue whose slot is below x: rows of counts by queue."""
+    return np.clip(-((total - 2 * n[None, :] * x[:, None]) // (2 * total)), 0, n[None, :])
+
+
 class Schedule:
     """How many tokens each queue has given when so many were given in all."""
 
     def __init__(self, counts: list[int], weights: list[float] | None = None):
         self.total = sum(counts)
-        dtype = np.int64 if self.total < 1_400_000_000 else object  # products stay exact
+        dtype = np.int64 if self.total < EXACT else object  # products stay exact
         self.phases, left = [], list(counts)
         if weights is None:
             self.phases.append(left)
@@ -58,8 +69,8 @@ class Schedule:
         """The first ``given`` tokens of one phase by ideal slot, ties by queue: rows of counts by queue."""
         total = int(n.sum())
 
-        def below(x):  # tokens whose slot is below x
-            return np.clip(-((total - 2 * n[None, :] * x[:, None]) // (2 * total)), 0, n[None, :])
+        def below(x):
+            return _below(n, total, x)
 
         low, high = np.maximum(given - len(n) - 1, 0), np.minimum(given + len(n) + 1, total)
         while (low < high).any():  # the last slot below which there are no more than given
@@ -95,7 +106,100 @@ class Schedule:
         return low
 
 
-def encoded(docs: DataFrame, *, tokenizer: str, end_id: int, max_queues: int) -> DataFrame:
+class Tiers:
+    """The order of many queues: ``fan`` neighbours are a group, its tokens are merged as in ``Schedule``, groups
+    likewise. A queue's tokens are found with ``fan`` counts a tier, whatever the number of queues.
+
+    Under weights a phase ends whenever a queue empties; phases are made when they are asked for, a few are kept."""
+
+    def __init__(self, counts: list[int], weights: list[float] | None = None, fan: int = 32):
+        self.counts, self.fan, self.total = np.array(counts, np.int64), fan, sum(counts)
+        self.weights = None if weights is None else np.array(weights)
+        if weights is not None and min(weights) <= 0:
+            raise ValueError("weights must be above 0")
+        self.times = np.ones(1) if weights is None else np.unique(self.counts / self.weights)
+        self.ends = np.array([int(self._until(p).sum()) for p in range(len(self.times))])
+        self.kept = {}
+
+    def _until(self, p: int) -> np.ndarray:
+        """Tokens of each queue given by the end of phase p."""
+        if p < 0:
+            return np.zeros_like(self.counts)
+        return self.counts if self.weights is None else np.minimum(self.counts, (self.times[p] * self.weights * (1 + 1e-12)).astype(np.int64))
+
+    def _phase(self, p: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Tokens of each queue before the phase; of all queues before each queue; counts in the phase by tier, queues first."""
+        if p not in self.kept:
+            if len(self.kept) >= 8:
+                self.kept.clear()
+            before = self._until(p - 1)
+            tiers = [self._until(p) - before]
+            while len(tiers[-1]) > self.fan:
+                tiers.append(np.add.reduceat(tiers[-1], np.arange(0, len(tiers[-1]), self.fan)))
+            self.kept[p] = before, np.cumsum(before) - before, tiers
+        return self.kept[p]
+
+    def _group(self, tier: np.ndarray, node: int) -> tuple[np.ndarray, int, int]:
+        """Counts of the node's group, their sum, and the node's place in it."""
+        first = node // self.fan * self.fan
+        n = tier[first : first + self.fan]
+        total = int(n.sum())
+        return n if total < EXACT else n.astype(object), total, node - first
+
+    def given(self, queue: int, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Among the first ``total`` tokens: those of the queue, and those of all queues before it."""
+        total = np.minimum(total, self.total)
+        own, lead = np.zeros(len(total), np.int64), np.zeros(len(total), np.int64)
+        phase = np.searchsorted(self.ends, total)
+        for p in np.unique(phase).tolist():
+            before, earlier, tiers = self._phase(p)
+            for at in np.array_split(np.flatnonzero(phase == p), 1 + len(total) // 50_000):
+                left = total[at] - (self.ends[p - 1] if p else 0)
+                lead[at] = earlier[queue]
+                for k in reversed(range(len(tiers))):
+                    n, in_group, place = self._group(tiers[k], queue // self.fan**k)
+                    if not in_group:
+                        break  # nothing left to give here
+                    t = Schedule._merged(n, left.astype(n.dtype)).astype(np.int64)
+                    lead[at] += t[:, :place].sum(axis=1)
+                    left = t[:, place]
+                own[at] = before[queue] + left
+        return own, lead
+
+    def order(self, queue: int, tokens: np.ndarray) -> np.ndarray:
+        """The places of the queue's tokens in the order of all."""
+        n, w = int(self.counts[queue]), 1.0 if self.weights is None else self.weights[queue]
+        until = np.array([n]) if self.weights is None else np.minimum(n, (self.times * w * (1 + 1e-12)).astype(np.int64))
+        out = np.zeros(len(tokens), np.int64)
+        phase = np.searchsorted(until, tokens, "right")
+        for p in np.unique(phase).tolist():
+            _, _, tiers = self._phase(p)
+            for at in np.array_split(np.flatnonzero(phase == p), 1 + len(tokens) // 50_000):
+                t = tokens[at] - (until[p - 1] if p else 0)
+                for k, tier in enumerate(tiers):
+                    n, total, place = self._group(tier, queue // self.fan**k)
+                    cell = ((2 * t.astype(n.dtype) + 1) * total) // (2 * n[place])
+                    low = _below(n, total, cell)
+                    tied = _below(n, total, cell + 1)[:, :place] - low[:, :place]  # of one cell, earlier queues come first
+                    t = (low.sum(axis=1) + tied.sum(axis=1)).astype(np.int64)
+                out[at] = t + (self.ends[p - 1] if p else 0)
+        return out
+
+    def windows(self, queue: int, start: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For stretches of the queue's tokens: the windows they are in, the queue's tokens at the borders of these
+        (one more), and the tokens of earlier queues in each."""
+        first, last = (self.order(queue, np.array([start.min(), (start + n).max() - 1])) // length).tolist()
+        if last - first < int(n.sum()):
+            w = np.arange(first, last + 1)
+        else:
+            tokens = np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)
+            w = np.unique(self.order(queue, tokens) // length)
+        own, lead = self.given(queue, w * length)
+        own_after, lead_after = self.given(queue, (w + 1) * length)
+        return w, np.append(own, own_after[-1]), lead_after - lead
+
+
+def encoded(docs: DataFrame, *, tokenizer: str, end_id: int) -> DataFrame:
     """The stored tokens: doc_id, queue, part, at (tokens of this part and queue before it), n, ids (uint16 or uint32 bytes)."""
 
     def run(batches):
@@ -117,9 +221,7 @@ def encoded(docs: DataFrame, *, tokenizer: str, end_id: int, max_queues: int) ->
                     names=["doc_id", "queue", "part", "at", "n", "ids"],
                 )
 
-    many = docs.select("source").distinct().limit(max_queues + 1).count() > max_queues
-    queue = F.concat(F.lit("#"), F.pmod(F.xxhash64("source"), F.lit(max_queues)).cast("string")) if many else F.col("source")
-    rows = docs.select("doc_id", queue.alias("queue"), text_of(docs).alias("text"))
+    rows = docs.select("doc_id", F.col("source").alias("queue"), text_of(docs).alias("text"))
     return written(rows.mapInArrow(run, "doc_id long, queue string, part int, at long, n long, ids binary"), "token_ids")
 
 
@@ -130,37 +232,43 @@ def pack(
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (bytes, little-endian 32-bit).
 
     weights: target proportions by source (1 where it names none); None: each source's share of all tokens.
+    max_queues: more sources than these are merged in tiers.
     """
-    stored = encoded(docs, tokenizer=tokenizer, end_id=end_id, max_queues=max_queues)
+    stored = encoded(docs, tokenizer=tokenizer, end_id=end_id)
     in_part = stored.groupBy("part", "queue").agg(F.sum("n").alias("in_part"))
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = written(in_part.select("part", "queue", "in_part", F.coalesce(F.sum("in_part").over(earlier), F.lit(0)).alias("base")), "bases")
-    totals = bases.groupBy("queue").agg(F.sum("in_part").alias("n")).orderBy(F.col("queue").asc_nulls_first()).collect()  # max_queues rows at most
-    names = [r["queue"] for r in totals]
-    shares = None if weights is None else [float(weights.get(q, 1.0)) for q in names]
-    plan = Schedule([r["n"] for r in totals], shares) if totals else None
-    number = {q: k for k, q in enumerate(names)}
+    totals = bases.groupBy("queue").agg(F.sum("in_part").alias("n")).orderBy(F.col("queue").asc_nulls_first()).toArrow()  # one row a source
+    names, counts = totals.column("queue").combine_chunks(), totals.column("n").to_pylist()
+    shares = None if weights is None else [float(weights.get(q, 1.0)) for q in names.to_pylist()]
+    tiers = Tiers(counts, shares, min(max(max_queues, 2), 32)) if len(counts) > max_queues else None
+    plan = Schedule(counts, shares) if counts and tiers is None else None
 
     def cut(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            queue = np.array([number[q] for q in b.column(1).to_pylist()])
+            queue = pc.index_in(b.column(1), value_set=names.cast(b.column(1).type)).to_numpy()
             start, n = b.column(2).to_numpy(), b.column(3).to_numpy()
-            spans = {}
-            for q in np.unique(queue).tolist():
-                mine = queue == q
+            by_queue = np.argsort(queue, kind="stable")
+            found, firsts = np.unique(queue[by_queue], return_index=True)
+            rows_of, spans = dict(zip(found.tolist(), np.split(by_queue, firsts[1:]), strict=True)), {}
+            for q in rows_of if tiers is None else ():
+                mine = rows_of[q]
                 spans[q] = plan.window_of(q, int(start[mine].min()), length), plan.window_of(q, int((start + n)[mine].max()) - 1, length)
-            low, high = min(s[0] for s in spans.values()), max(s[1] for s in spans.values())
-            together = high - low <= 4 * max(s[1] - s[0] + 1 for s in spans.values())
-            table = plan.given(np.arange(low, high + 2) * length) if together else None
+            if tiers is None:
+                low, high = min(s[0] for s in spans.values()), max(s[1] for s in spans.values())
+                together = high - low <= 4 * max(s[1] - s[0] + 1 for s in spans.values())
+                table = plan.given(np.arange(low, high + 2) * length) if together else None
             cells, keys = b.column(4), b.column(0)
-            for q, (first, last) in spans.items():
-                at = low if together else first
-                t = table if together else plan.given(np.arange(first, last + 2) * length)
-                own = t[:, q].astype(np.int64)
-                lead = np.diff(t[:, :q].sum(axis=1)).astype(np.int64) if q else np.zeros(len(own) - 1, np.int64)
-                rows = np.flatnonzero(queue == q)
+            for q, rows in rows_of.items():
+                if tiers is None:
+                    first, last = (low, high) if together else spans[q]
+                    t = table if together else plan.given(np.arange(first, last + 2) * length)
+                    windows, own = np.arange(first, last + 1), t[:, q].astype(np.int64)
+                    lead = np.diff(t[:, :q].sum(axis=1)).astype(np.int64) if q else np.zeros(len(own) - 1, np.int64)
+                else:
+                    windows, own, lead = tiers.windows(q, start[rows], n[rows], length)
                 s, e = start[rows], start[rows] + n[rows]
                 w0, w1 = np.searchsorted(own, s, "right") - 1, np.searchsorted(own, e, "left")
                 per = w1 - w0
@@ -182,7 +290,7 @@ def pack(
                     yield pa.RecordBatch.from_arrays(
                         [
                             keys.take(pa.array(which)), pa.array((a - s[row])[i:j]), pa.array((z - a)[i:j]), pa.array(crc, pa.int64()), pa.array(n[which]),
-                            pa.array(w[i:j] + at), pa.array(lead[w[i:j]] + a[i:j] - own[w[i:j]]), pa.array(out, pa.binary()),
+                            pa.array(windows[w[i:j]]), pa.array(lead[w[i:j]] + a[i:j] - own[w[i:j]]), pa.array(out, pa.binary()),
                         ],
                         names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
                     )

@@ -217,6 +217,20 @@ def test_packing(make):
     assert not brute.packed_faults(weighted, ids, 256)
 
 
+def test_packing_keeps_a_queue_a_source_beyond_max_queues(make):
+    rows = [(i, "a b c d e f g h i j " * 8, "hot" if i % 3 == 0 else f"s{i % 40}") for i in range(240)]
+    enc = encoder("byte_bpe_50k.json").library
+    ids = {d: [*enc.encode(t, add_special_tokens=False).ids, 1] for d, t, _ in rows}
+    source, hot = {d: s for d, _, s in rows}, sum(len(ids[d]) for d, _, s in rows if s == "hot") / sum(map(len, ids.values()))
+    for weights, share in ((None, hot), ({"hot": 40.0}, 0.5)):
+        pieces = [r.asDict() for r in packing.pack(make(rows).repartition(3), weights=weights, length=512, max_queues=4).collect()]
+        assert not brute.packed_faults(pieces, ids, 512)
+        whole = max(p["sequence_id"] for p in pieces) if weights is None else 8  # all but the last; before the hot source ends
+        for k in range(whole):
+            got = sum(p["length"] for p in pieces if p["sequence_id"] == k and source[p["doc_id"]] == "hot")
+            assert abs(got - 512 * share) <= 20
+
+
 def test_token_files(spark, make):
     path = new_path(spark, "ids.orc")
     token_files.write_token_ids(make(ROWS).repartition(4), path, tokenizer="word_bpe_49k.json", end_id=2)

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from larkspur.llm.arrays import portions
-from larkspur.llm.packing import Schedule
+from larkspur.llm.packing import Schedule, Tiers
 from larkspur.llm.tokens import Encoder, tokenizer_path
 
 NAMES = ("byte_bpe_50k.json", "word_bpe_49k.json")
@@ -67,3 +67,28 @@ def test_windows_are_full_and_meet_their_shares(counts, weighted, length, scale)
     q = len(counts) - 1
     w = s.window_of(q, counts[q] - 1, length)
     assert int(s.given(np.array([w * length]))[0, q]) < counts[q] <= int(s.given(np.array([(w + 1) * length]))[0, q])
+
+
+@settings(max_examples=200, deadline=None)
+@given(counts=st.lists(st.integers(1, 60), min_size=1, max_size=30), weighted=st.booleans(), fan=st.integers(2, 40), length=st.integers(1, 64))
+def test_tiers_are_one_order_of_all_queues(counts, weighted, fan, length):
+    s = Tiers(counts, [float(1 + k % 3) for k in range(len(counts))] if weighted else None, fan)
+    total = sum(counts)
+    places = [s.order(q, np.arange(n)) for q, n in enumerate(counts)]
+    assert sorted(x for p in places for x in p.tolist()) == list(range(total))
+    at = np.minimum(np.arange(total // length + 2) * length, total)
+    flat = Schedule(counts).given(at)
+    for q, p in enumerate(places):
+        assert (np.diff(p) > 0).all()
+        own, lead = s.given(q, at)
+        assert own.tolist() == [int((p < x).sum()) for x in at]
+        assert lead.tolist() == [sum(int((o < x).sum()) for o in places[:q]) for x in at]
+        if not weighted and fan >= len(counts):
+            assert own.tolist() == flat[:, q].tolist()
+
+
+def test_tiers_of_more_tokens_than_products_of_64_bits_hold():
+    s = Tiers([10**12, 1, 3 * 10**12, 5, 7], fan=2)
+    own, _ = s.given(0, np.array([4000, 4 * 10**12 + 13]))
+    assert abs(int(own[0]) - 1000) <= 4 and int(own[1]) == 10**12
+    assert s.order(0, np.array([999_999]))[0] // 4 in range(999_990, 1_000_010)
