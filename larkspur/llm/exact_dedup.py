@@ -1,10 +1,11 @@
-"""Exact dedup: an extendible-hash index on shared files, chains that compare bytes.
+"""Exact dedup: hashes counted in an index on shared files, chains that compare bytes.
 
 Texts are hashed to 64 bits and counted by hash, so that copies collapse to one index
 entry before any shuffle. A directory over the leading bits is doubled until no bucket
 holds more than ``capacity`` entries (or the depth limit is met); buckets that fit earlier
 keep their smaller local depth. The index is written to the shared folder in bucket order,
-range partitioned, so that each owner task has a range of keys. Hashes that occur once
+range partitioned. Of it only hashes and counts are read back: buckets and depths decide nothing,
+and the chains come from a join on the hash and a hash aggregate. Hashes that occur once
 are settled by the index. For the others a chain lists each different text of the hash with its
 count and largest id; a row finds its entry by comparing bytes, so hash collisions can't merge texts.
 
