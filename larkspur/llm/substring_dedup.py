@@ -1,8 +1,8 @@
-"""Substring dedup: seed and extend over words.
+"""Substring dedup: windows of words, preselected by anchors and grouped by hash.
 
-Exact copies of earlier documents are settled by hash. Seeds are winnowed anchors (see anchors): two stretches of ``window`` equal words share one. Documents meet on equal
-seeds. Around each seed the windows that hold it, to its left and to its right, are compared by
-hash with all others: a match extends as far as the windows agree. Windows that occur earlier, joined where they
+Exact copies of earlier documents are settled by hash. Seeds are winnowed anchors (see anchors): two stretches of ``window`` equal words share one. Seeds only
+preselect windows, those that hold a seed that occurs twice: documents are not joined on seeds and no match is extended. Each
+of these windows is hashed and its first place is found by hash. Windows that occur earlier, joined where they
 touch, are the maximal repeats over the threshold; their words go. Of a portion of documents only the first place of a window
 is sent, so a passage in any share of the documents is no burden.
 

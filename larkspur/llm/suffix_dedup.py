@@ -1,12 +1,10 @@
-"""Suffix-array dedup: remove bytes that an earlier document already holds in a stretch of ``window`` bytes.
+"""Dedup of byte windows: remove bytes that an earlier document already holds in a stretch of ``window`` bytes.
 
-Only suffixes that can have an earlier match are sorted: exact copies are settled by hash, and of
+No suffix array is built; windows are grouped by hash. Exact copies are settled by hash, and of
 the other texts those windows are taken whose anchor occurs in another document (see anchors). Windows of one
 anchor travel together as one segment of text; equal windows have equal anchors, so a task sees all
-suffixes of its anchors. It sorts them as far as the threshold needs (suffixes that agree in ``window`` bytes are neighbours;
-the order among others is by hash), and reads the longest-previous-factor array off that order: a suffix has an
-earlier match of ``window`` bytes if the previous or next smaller document in its run of neighbours is of an earlier
-document. The later copy's bytes go, the first stays.
+windows of its anchors. It sorts them by hash; a window has an earlier match if the least document of its run of equal
+hashes is an earlier one. The later copy's bytes go, the first stays.
 
 Anchors so frequent that a task shouldn't hold all their segments go window by window through
 an aggregate (least document by hash), which combines before it shuffles.
@@ -47,8 +45,8 @@ def _places(window: int, gram: int):
 
 
 def earlier_factor(order: np.ndarray, keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Whether each suffix matches one of a smaller document; order: suffixes sorted, equal keys next to
-    each other. A suffix's previous and next smaller documents lie in its run of equal keys, if anywhere."""
+    """Whether each suffix matches one of a smaller document; order: equal keys next to
+    each other. The least document of each run of equal keys is compared."""
     k, d = keys[order], docs[order]
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]
