@@ -5,7 +5,7 @@ times its words; what it can't take is shared again by weight among the others u
 nobody is above. With the sources in order of cap / weight that fixed point is one pass: at the
 first source whose cap is not below the level (rest of the budget) / (rest of the weights), the level is found.
 
-Every document of a source is taken ``floor(target / source_size)`` times whole. The
+Every document of a source is taken ``floor(target / source_size)`` times whole, by the target rounded to words. The
 fraction left over takes documents in the order of a seeded hash until its words are reached,
 the last one in part, so the words taken meet the target to within one. The order is cut
 into ``2 ** bits`` hash ranges a source: their sums say in which the fraction ends, and only that range is sorted.
@@ -45,27 +45,30 @@ def water_fill(sources: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, max
 
 def _plan(docs: DataFrame, *, weights, share: float, max_epochs: float, seed: int, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(a row a document: doc_id, source, size, h, bucket; a row a source: sizes, target, ``whole``, and the bucket
-    ``cut`` in which the fraction ends, with the words of it still free there; documents of those buckets: h, part)."""
+    ``cut`` in which the fraction ends, with the words of it still free there; documents of those buckets: source, h,
+    rows that are equal in these, words taken of all of them)."""
     sizes = docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), _order(seed).alias("h"))
     sizes = written(sizes.withColumn("bucket", _bucket(bits)), "sizes")
     buckets = written(sizes.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket")), "buckets")
     per_source = buckets.groupBy("source").agg(F.sum("in_bucket").alias("source_size"))
     targets = water_fill(per_source, weights=weights, share=share, max_epochs=max_epochs)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    targets = written(targets.withColumn("whole", whole), "targets")
-    targets = targets.withColumn("left", F.round("target").cast("long") - F.col("whole") * F.col("source_size"))
+    whole = F.when(F.col("source_size") > 0, F.expr("rounded div source_size")).otherwise(F.lit(0)).cast("long")
+    targets = written(targets.withColumn("rounded", F.round("target").cast("long")).withColumn("whole", whole), "targets")
+    targets = targets.withColumn("left", F.col("rounded") - F.col("whole") * F.col("source_size"))
     up_to = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = buckets.withColumn("before", F.coalesce(F.sum("in_bucket").over(up_to), F.lit(0))).withColumnRenamed("source", "b_source")
     t = targets.withColumnRenamed("source", "c_source")
     ends = before.join(t.select("c_source", "left"), F.col("b_source").eqNullSafe(F.col("c_source")))
     ends = ends.filter((F.col("before") <= F.col("left")) & (F.col("left") < F.col("before") + F.col("in_bucket")))
     ends = ends.select("b_source", F.col("bucket").alias("cut"), (F.col("left") - F.col("before")).alias("room"))
-    cuts = written(t.join(ends, F.col("c_source").eqNullSafe(F.col("b_source")), "left").drop("b_source", "left"), "cuts")
+    cuts = written(t.join(ends, F.col("c_source").eqNullSafe(F.col("b_source")), "left").drop("b_source", "left", "rounded"), "cuts")
     within = Window.partitionBy("source").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     at_end = sizes.join(cuts, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("bucket") == F.col("cut")))
     start = F.coalesce(F.sum("size").over(within), F.lit(0))
-    parts = at_end.select("h", F.greatest(F.lit(0), F.least(F.col("size"), F.col("room") - start)).alias("part"))
-    return sizes, cuts, written(parts.groupBy(F.col("h").alias("e_h")).agg(F.max("part").alias("e_part")), "ends")
+    parts = at_end.select("source", "h", F.greatest(F.lit(0), F.least(F.col("size"), F.col("room") - start)).alias("part"))
+    return sizes, cuts, written(
+        parts.groupBy(F.col("source").alias("e_source"), F.col("h").alias("e_h")).agg(F.count(F.lit(1)).alias("e_rows"), F.sum("part").alias("e_part")), "ends"
+    )
 
 
 def _order(seed: int):
@@ -78,8 +81,16 @@ def _bucket(bits: int):
 
 def _taken(rows: DataFrame, cuts: DataFrame, ends: DataFrame) -> DataFrame:
     """rows: source, size, h, bucket -> also whole, part. Cuts and ends are tables of known size: small ones are broadcast."""
-    both = rows.join(cuts, F.col("source").eqNullSafe(F.col("c_source"))).join(ends, F.col("h") == F.col("e_h"), "left")
-    part = F.when(F.col("bucket") < F.col("cut"), F.col("size")).when(F.col("bucket") == F.col("cut"), F.coalesce("e_part", F.lit(0))).otherwise(F.lit(0))
+    ended = (F.col("h") == F.col("e_h")) & F.col("source").eqNullSafe(F.col("e_source"))
+    both = rows.join(cuts, F.col("source").eqNullSafe(F.col("c_source"))).join(ends, ended, "left")
+    before = F.lit(0)
+    if ends.filter("e_rows > 1").limit(1).count():  # rows that repeat there, and only these, are numbered
+        repeated = F.coalesce(F.col("e_rows") > 1, F.lit(False))
+        before = F.col("nth") * F.col("size")
+        nth = F.row_number().over(Window.partitionBy("source", "h").orderBy("size")) - 1
+        both = both.filter(~repeated).withColumn("nth", F.lit(0)).unionByName(both.filter(repeated).withColumn("nth", nth))
+    last = F.greatest(F.lit(0), F.least(F.col("size"), F.coalesce("e_part", F.lit(0)) - before))
+    part = F.when(F.col("bucket") < F.col("cut"), F.col("size")).when(F.col("bucket") == F.col("cut"), last).otherwise(F.lit(0))
     return both.withColumn("part", part.cast("long"))
 
 

@@ -124,6 +124,18 @@ def test_mixing(make, share):
     assert mixed == {r["doc_id"]: r["taken"] for r in rows if r["taken"]}
 
 
+def test_mixing_meets_targets_near_whole_sources_and_with_repeated_rows(make):
+    apart = [(i, f"w{i} " * 100, "s") for i in range(10)]
+    same = [(1, "w " * 100, "s"), (1, "w " * 100, "t")] * 5
+    for rows, share, want in ((apart, 0.9997, {"s": 1000}), (same, 0.7, {"s": 500, "t": 200}), ([(None, "w " * 100, "s")] * 5, 0.5, {"s": 250})):
+        docs, took, mixed = make(rows), {}, {}
+        for r in mixing.mixture(docs, share=share).collect():
+            took[r["source"]] = took.get(r["source"], 0) + r["taken"]
+        for r in mixing.mix_documents(docs, share=share).collect():
+            mixed[r["given"]["source"]] = mixed.get(r["given"]["source"], 0) + len(brute.WORD.findall(r["text"]))
+        assert took == want and mixed == want
+
+
 def test_exact_dedup(make):
     rows = [*PAIRS, (2000, None), (None, "null id"), (None, ""), (2001, "null id")]
     got = exact_dedup.exact_dedup(make(rows), capacity=3).collect()
