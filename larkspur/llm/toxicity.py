@@ -281,7 +281,8 @@ def toxicity(docs: DataFrame, model: Model, *, offending: float = 0.5) -> DataFr
 
 
 def keep_clean(docs: DataFrame, model: Model, *, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text scores below the threshold."""
+    """The rows of ``docs``, all columns as they are, whose text scores below the threshold. All rows, where
+    labels didn't suffice to fit a curve: the prior tells nothing of a text."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -291,11 +292,10 @@ def keep_clean(docs: DataFrame, model: Model, *, threshold: float = 0.5) -> Data
             for i, data, offsets in portions(b.column(at), 4 << 20):
                 n = len(offsets) - 1
                 if m.curve is None:
-                    score = np.full(n, m.prior)
-                else:
-                    p, _, _, by_doc = m.marginals(data, offsets)
-                    score = m.scores(p, by_doc)
-                yield b.slice(i, n).filter(pa.array(score < threshold))
+                    yield b.slice(i, n)
+                    continue
+                p, _, _, by_doc = m.marginals(data, offsets)
+                yield b.slice(i, n).filter(pa.array(m.scores(p, by_doc) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -322,6 +322,13 @@ def test_empty_tables_and_no_labels(spark, make):
     assert {r["score"] for r in toxicity.toxicity(make([(1, "a"), (2, None)]), model).collect()} == {0.5}
 
 
+@pytest.mark.parametrize("toxic", [None, 1])
+def test_all_documents_stay_without_labels_of_both_kinds(spark, make, toxic):
+    docs = make([(i, f"some words {i}") for i in range(12)] + [(None, None)])
+    labels = spark.createDataFrame([(i, toxic) for i in range(12)], "doc_id long, toxic int")
+    assert toxicity.keep_clean(docs, toxicity.fit_tables(docs, labels)).count() == 13
+
+
 def test_repeated_rows_and_null_ids_do_not_crash(make):
     rows = [(1, "one two three " * 30)] * 3 + [(None, None), (None, "one two three " * 30), (1, "another text of one id")]
     docs = make(rows)
