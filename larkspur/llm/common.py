@@ -10,8 +10,11 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,28 +22,48 @@ from pyspark.sql import functions as F
 #: The white space of all contracts: space and the code points 9 to 13.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, as in tests, one of our own."""
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share. There is no other to fall back to on a cluster;
+    where all run in one process (a local master, as in tests) a temporary folder of this machine does."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="larkspur-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses; it is removed as the driver ends."""
+    """A path in the shared folder that nothing else uses; it is removed as the driver ends, if not before."""
     path = f"{shared_dir(spark)}/larkspur-{uuid.uuid4().hex}/{name}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path).getParent()
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    at, system = _folder(spark, path)
+    system.deleteOnExit(at)
     return path
 
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: rows of a record batch, for what of a write runs in Python; and: shuffle files of a finished write are of no more use.
+_WRITING = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextmanager
+def _writing(spark: SparkSession, batch: int):
+    settings = _WRITING | {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch)}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def written(df: DataFrame, name: str, batch: int = 1000) -> DataFrame:
@@ -49,15 +72,33 @@ def written(df: DataFrame, name: str, batch: int = 1000) -> DataFrame:
     batch: rows of a record batch, for what of it runs in Python; texts are large, so fewer than Spark's own setting.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(batch))
-    try:
+    with _writing(spark, batch):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_BATCH, before)
-    # Shuffle files of a finished write go when the driver collects its garbage; the next step needs the disk.
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._larkspur_path = path
+    return table
+
+
+def written_in_buckets(df: DataFrame, name: str, by: tuple[str, ...], buckets: int) -> DataFrame:
+    """As ``written``, bucketed: joins by these columns leave the table's rows where they are. At least as many buckets as the session has
+    shuffle partitions. The catalog's entry is dropped at once; only the files and the returned DataFrame remain."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    buckets = min(max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))), 100_000)
+    entry = f"larkspur_{uuid.uuid4().hex}"
+    with _writing(spark, 1000):
+        df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, *by).saveAsTable(entry)
+    table = spark.table(entry)
+    table.schema  # noqa: B018  resolved before the entry goes
+    spark.sql(f"DROP TABLE {entry}")
+    table._larkspur_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of ``written`` that nothing reads any more: what came of them is written itself."""
+    for t in tables:
+        at, system = _folder(t.sparkSession, t._larkspur_path)
+        system.delete(at, True)
 
 
 def let(value: Column, body) -> Column:
@@ -69,10 +110,22 @@ def text_of(df: DataFrame) -> Column:
     return F.coalesce(df["text"], F.lit(""))
 
 
+def bare(text: Column) -> Column:
+    """The text without blanks at its ends. btrim() with a list of characters makes arrays as long as the text, so only texts that need it get there."""
+    edged = [F.startswith(text, F.lit(c)) | F.endswith(text, F.lit(c)) for c in BLANKS]
+    return F.when(reduce(lambda a, b: a | b, edged), F.btrim(text, F.lit(BLANKS))).otherwise(text)
+
+
 def words_of(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` as an array; no text or no word gives an empty one."""
-    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BLANK_RUN))
+    return let(bare(F.coalesce(text, F.lit(""))), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, BLANK_RUN)))
+
+
+def plain_words(text: Column) -> Column:
+    """The words with one blank between them; cheaper than words_of() where only their text is of use."""
+    for c in BLANKS[1:]:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return let(F.btrim(text), lambda t: F.when(F.contains(t, F.lit("  ")), F.regexp_replace(t, "  +", " ")).otherwise(t))
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
