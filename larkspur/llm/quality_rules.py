@@ -11,26 +11,40 @@ texts are read whole. Extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import BLANKS, documents, let, text_of, words_of
+from larkspur.llm.common import BLANKS, bare, documents, let, text_of, words_of
 
 SYMBOLS = "#*$%&|<>"
-#: Phrases of notices and page furniture, matched in lower case anywhere in a line.
+#: Phrases of notices and page furniture in English, French, German and Spanish, matched in lower case anywhere in a line.
 BOILERPLATE = (
     "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy",
     "use cookies", "javascript", "lorem ipsum", "licensed under", "copyright ©", "(c) copyright",
     "click here", "read more", "subscribe to our", "powered by",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "utilise des cookies", "cliquez ici", "lire la suite",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "verwendet cookies", "klicken sie hier", "mehr lesen",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "utiliza cookies", "haga clic aquí", "leer más",
 )
-#: Whole lines that only lead elsewhere.
+#: Whole lines that only lead elsewhere, in the same languages.
 NAVIGATION = (
     "home", "menu", "search", "login", "log in", "sign in", "sign up", "register", "contact",
     "contact us", "about", "about us", "next", "previous", "back", "back to top", "top", "share",
     "print", "sitemap", "skip to content",
+    "accueil", "rechercher", "connexion", "s'inscrire", "à propos", "suivant", "précédent", "retour", "haut de page", "partager", "imprimer", "plan du site",
+    "startseite", "menü", "suche", "anmelden", "registrieren", "kontakt", "über uns", "weiter", "zurück", "nach oben", "teilen", "drucken",
+    "inicio", "menú", "buscar", "iniciar sesión", "registrarse", "contacto", "acerca de", "siguiente", "anterior", "volver", "arriba", "compartir", "imprimir", "mapa del sitio",
 )
 
 
+#: A mark at the end of a line, or at the end of a sentence within it.
+ENDS, WITHIN = "[.!?…。！？:;,][\"'”’»)\\]]*$", "[.!?…。！？]"
+_NOTICES = "|".join(p.replace("(", r"\(").replace(")", r"\)") for p in BOILERPLATE)
+
+
 def _without(text: Column, chars: str) -> Column:
     """The text less some characters; one replace() each, which is far cheaper than translate() on long texts."""
     for c in chars:
@@ -42,7 +56,7 @@ def repeated_words(words: Column, window: int = 8) -> Column:
     """Words in windows of ``window`` words that the same text holds twice or more.
 
     Hashes of the windows say whether any can repeat, which few texts need to go beyond;
-    the windows themselves decide where one does.
+    the windows themselves decide where one does. A word is hashed once; windows of 2, 4, ... words come from hashes of half as many.
     """
 
     def exact(ws: Column) -> Column:
@@ -64,35 +78,44 @@ def repeated_words(words: Column, window: int = 8) -> Column:
 
         return let(let(keyed, twice), covered)
 
+    def longer(hashes: Column, held: int, then) -> Column:
+        """Hashes of stretches of ``held`` words -> those of ``window`` words, of which the last overlap where that isn't a power of two."""
+        if held == window:
+            return then(F.slice(hashes, 1, F.size(hashes) - window + 1))
+        step = min(held, window - held)
+        joined = F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + step)))
+        return let(joined, lambda h: longer(h, held + step, then))
+
     def screened(ws: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(1), F.size(ws) - window + 1), lambda i: F.xxhash64(F.slice(ws, i, window)))
-        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(exact(ws)))
+        decide = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(exact(ws))
+        return let(F.transform(ws, lambda w: F.xxhash64(w)), lambda h: longer(h, 1, lambda x: let(x, decide)))
 
     return F.when(F.size(words) < window, F.lit(0)).otherwise(screened(words)).cast("long")
 
 
 def line_passes(line: Column, min_line_words: int = 1, long_line_words: int = 30) -> Column:
-    """The rules a line must meet. Blank lines pass: they cost a document nothing. A line of
-    ``long_line_words`` words is prose: one notice within it, or a missing full stop, doesn't condemn it."""
-    bare = F.btrim(line, F.lit(BLANKS))
+    """The rules a line must meet. Blank lines pass: they cost a document nothing. One notice condemns a line of up to
+    ``long_line_words`` words, two a line of twice as many, and so on; a line of that many words may end without a mark if a
+    sentence ends within it."""
 
     def judged(t: Column) -> Column:
         low, chars = F.lower(t), F.length(t)
         n_words = chars - F.length(_without(t, BLANKS)) + 1
         symbols = chars - F.length(_without(t, SYMBOLS))
         shouts = chars - F.length(_without(t, "!"))
-        prose = n_words >= long_line_words
         punctuation = (
-            (prose | t.rlike("[.!?…。！？:;,][\"'”’»)\\]]*$"))
+            (t.rlike(ENDS) | ((n_words >= long_line_words) & t.rlike(WITHIN)))
             & (symbols * 10 <= chars)
             & (shouts * 3 <= n_words + 2)
             & (n_words >= min_line_words)
         )
         navigation = ((chars - F.length(_without(t, "|"))) * 10 < n_words + 10) & ~low.isin(*NAVIGATION)
-        boilerplate = prose | ~low.rlike("|".join(p.replace("(", r"\(").replace(")", r"\)") for p in BOILERPLATE))
+        # Searching for one phrase after the other is far cheaper than one pattern; few lines go on to be counted.
+        notices = let(low, lambda x: F.when(reduce(or_, [F.contains(x, F.lit(p)) for p in BOILERPLATE]), F.regexp_count(x, F.lit(_NOTICES))).otherwise(0))
+        boilerplate = notices * long_line_words <= n_words
         return (t == "") | (punctuation & navigation & boilerplate)
 
-    return let(bare, judged)
+    return let(bare(line), judged)
 
 
 def quality_rules(
@@ -109,7 +132,7 @@ def quality_rules(
     text = text_of(docs)
     base = docs.select("doc_id", text.alias("t"))
     lines = F.split(F.col("t"), "\n", -1)
-    with_word = F.filter(lines, lambda x: F.btrim(x, F.lit(BLANKS)) != "")
+    with_word = F.filter(lines, lambda x: bare(x) != "")
     bare_chars = F.length(_without(F.col("t"), BLANKS))
 
     def of_words(ws: Column) -> Column:
@@ -144,7 +167,6 @@ def op1_quality_rules(spark, sf_dir):
 
 def _sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    notices = "|".join(p.replace("(", r"\(").replace(")", r"\)") for p in BOILERPLATE)
     blank = r"[\x20\x09-\x0D]"
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '{blank}+'), lambda x: x <> '') AS ws FROM documents),
@@ -154,9 +176,9 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT w.doc_id, unnest(rang
 l AS (SELECT doc_id, line, regexp_replace(line, '^{blank}+|{blank}+$', '', 'g') AS b FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
 j AS (SELECT *, length(b) - length(regexp_replace(b, '{blank}', '', 'g')) + 1 AS n, length(b) - length(regexp_replace(b, '[#*$%&|<>]', '', 'g')) AS symbols,
              length(b) - length(replace(b, '!', '')) AS shouts, length(b) - length(replace(b, '|', '')) AS bars FROM l),
-v AS (SELECT *, b = '' OR ((n >= 30 OR regexp_matches(b, {quoted("[.!?…。！？:;,]" + '["' + "'" + "”’»)\\]]*$")}))
+v AS (SELECT *, b = '' OR ((regexp_matches(b, {quoted(ENDS)}) OR n >= 30 AND regexp_matches(b, {quoted(WITHIN)}))
              AND symbols * 10 <= length(b) AND shouts * 3 <= n + 2 AND n >= 1 AND bars * 10 < n + 10 AND lower(b) NOT IN ({", ".join(map(quoted, NAVIGATION))})
-             AND (n >= 30 OR NOT regexp_matches(lower(b), {quoted(notices)}))) AS ok FROM j),
+             AND len(regexp_extract_all(lower(b), {quoted(_NOTICES)})) * 30 <= n) AS ok FROM j),
 g AS (SELECT doc_id, count(*) FILTER (b <> '') - count(DISTINCT line) FILTER (b <> '') AS dup,
              coalesce(sum(length(regexp_replace(line, '{blank}', '', 'g'))) FILTER (ok), 0) AS clean FROM v GROUP BY doc_id),
 c AS (SELECT d.doc_id, len(ws) AS n_words, length(regexp_replace(t, '{blank}', '', 'g')) AS word_chars,
