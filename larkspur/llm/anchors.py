@@ -1,4 +1,4 @@
-"""Which stretches of documents may repeat elsewhere: shared anchors.
+"""Which stretches of documents may repeat elsewhere: shared anchors, and the segments of text around them.
 
 A repeat of at least W symbols holds the same grams, so its windows of W symbols have the same least gram hash. That
 hash, the window's anchor, is kept once for all neighbouring windows that have it. Anchors travel
@@ -7,6 +7,13 @@ sees all of a bucket and answers with those that occur twice.
 
 An anchor with more than ``MANY`` places in one chunk is shared for certain. Only ``MANY`` of its places then go to its
 bucket, to tell others of it; the rest are dealt out by place. So no bucket gathers a frequent anchor.
+
+The windows of a shared anchor then travel together, as one segment of text: equal windows have equal anchors, so whoever holds
+all segments of an anchor holds all places of its windows and compares them by value. Hashes only choose what is compared. Anchors of
+more than ``CROWD`` places go window by window instead, through an aggregate that combines before it shuffles.
+
+Exact copies of earlier documents (length and two hashes, 128 bits) are told first, and none of this sees their texts. The texts are
+written once, bucketed by document, so that what is found about them joins without moving them again.
 """
 
 from __future__ import annotations
@@ -19,14 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.arrays import U, by_document, mix, portions, release, sliding_min
-from larkspur.llm.common import written
+from larkspur.llm.common import discard, written, written_in_buckets
 
 MANY = 32
 CHUNK = 1 << 18
 #: Places of one anchor beyond which they aren't compared within a task.
 CROWD = 20_000
 PLACE, HERALD, KNOWN = 0, 1, 2
-RUNS = "did long, anchor long, first int, n int, crowded boolean"
+RUNS = "did long, row long, anchor long, first int, n int, crowded boolean"
+#: Windows of a run at most; longer ones (periodic texts) are cut.
+LONGEST = 4096
+#: Bytes of segments that are compared at once, if one anchor has no more.
+COMPARED = 1 << 20
 Finder = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -67,12 +78,17 @@ def least_grams(grams: np.ndarray, offsets: np.ndarray, window: int, gram: int,
             np.copyto(place, at + j, where=grams[at + j] == least)
         new[1:] |= place[1:] != place[:-1]
     starts = np.flatnonzero(new)
-    return least[starts], doc[starts], at[starts] - offsets[:-1][doc[starts]], np.diff(np.append(starts, len(at)))
+    sizes = np.diff(np.append(starts, len(at)))
+    if sizes.max() > LONGEST:
+        parts = -(-sizes // LONGEST)
+        starts = np.repeat(starts, parts) + LONGEST * (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts))
+        sizes = np.diff(np.append(starts, len(at)))
+    return least[starts], doc[starts], at[starts] - offsets[:-1][doc[starts]], sizes
 
 
-def _flush(did, anchor, first, n, buckets):
+def _flush(did, row, anchor, first, n, buckets):
     order = np.argsort(anchor, kind="stable")
-    did, anchor, first, n = did[order], anchor[order], first[order], n[order]
+    did, row, anchor, first, n = (c[order] for c in (did, row, anchor, first, n))
     new = np.ones(len(anchor), bool)
     new[1:] = anchor[1:] != anchor[:-1]
     start = np.flatnonzero(new)
@@ -86,9 +102,9 @@ def _flush(did, anchor, first, n, buckets):
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U))
     for b in np.flatnonzero(np.diff(cuts)).tolist():
         rows = order[cuts[b] : cuts[b + 1]]
-        ids, at = np.unique(did[rows], return_inverse=True)
-        at = at.astype(np.uint16 if len(ids) < 65536 else np.uint32)
-        yield b, packed([anchor[rows], at, first[rows].astype(np.uint32), n[rows].astype(np.uint32), kind[rows]]), ids.tobytes()
+        _, of, at = np.unique(row[rows] ^ did[rows].astype(np.int64), return_index=True, return_inverse=True)
+        at = at.astype(np.uint16 if len(of) < 65536 else np.uint32)
+        yield b, packed([anchor[rows], at, first[rows].astype(np.uint32), n[rows].astype(np.uint32), kind[rows]]), packed([did[rows][of], row[rows][of]])
 
 
 def _deal(rows, buckets):
@@ -102,8 +118,9 @@ def _judge(blobs: list[tuple[bytes, bytes]], across: bool):
     parts = []
     for blob, ids in blobs:
         anchor, at, first, n, kind = unpacked(blob)
-        parts.append((anchor, np.frombuffer(ids, np.int64)[at], first, n, kind))
-    anchor, did, first, n, kind = (np.concatenate(c) for c in zip(*parts, strict=True))
+        did, row = unpacked(ids)
+        parts.append((anchor, did[at], row[at], first, n, kind))
+    anchor, did, row, first, n, kind = (np.concatenate(c) for c in zip(*parts, strict=True))
     known = kind == KNOWN
     rows = np.flatnonzero(~known)
     rows = rows[np.argsort(anchor[rows], kind="stable")]
@@ -124,13 +141,13 @@ def _judge(blobs: list[tuple[bytes, bytes]], across: bool):
     for i in range(0, len(s), 50_000):
         k = s[i : i + 50_000]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(did[k]), pa.array(anchor[k].view(np.int64)), pa.array(first[k].astype(np.int32)), pa.array(n[k].astype(np.int32)), pa.array(crowded[k])],
-            names=["did", "anchor", "first", "n", "crowded"],
+            [pa.array(did[k]), pa.array(row[k]), pa.array(anchor[k].view(np.int64)), pa.array(first[k].astype(np.int32)), pa.array(n[k].astype(np.int32)), pa.array(crowded[k])],
+            names=["did", "row", "anchor", "first", "n", "crowded"],
         )
 
 
 def shared_runs(docs: DataFrame, finder: Finder, *, symbols: int, across: bool) -> DataFrame:
-    """docs: did, text. -> the runs of windows whose anchor occurs elsewhere (``across``: in another did): RUNS.
+    """docs: did, row, text. -> the runs of windows whose anchor occurs elsewhere (``across``: in another did): RUNS.
 
     symbols: about how many anchors there are, which sets the number of buckets (some 250,000 each).
     """
@@ -139,10 +156,10 @@ def shared_runs(docs: DataFrame, finder: Finder, *, symbols: int, across: bool)
     def deal(batches):
         rows, held = [], 0
         for b in batches:
-            ids = b.column(0).to_numpy()
-            for i, data, offsets in portions(b.column(1), 1 << 18):
+            ids, prints = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for i, data, offsets in portions(b.column(2), 1 << 18):
                 anchor, doc, first, n = finder(data, offsets)
-                rows.append((ids[i + doc], anchor, first, n))
+                rows.append((ids[i + doc], prints[i + doc], anchor, first, n))
                 held += len(anchor)
                 if held >= CHUNK:
                     yield from _deal(rows, buckets)
@@ -168,37 +185,193 @@ def shared_runs(docs: DataFrame, finder: Finder, *, symbols: int, across: bool)
         blobs = []
         release()
 
-    dealt = docs.select("did", "text").mapInArrow(deal, "bucket int, blob binary, ids binary")
+    dealt = docs.select("did", "row", "text").mapInArrow(deal, "bucket int, blob binary, ids binary")
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(judge, RUNS)
 
 
-def exact_copies(docs: DataFrame) -> DataFrame:
-    """docs: did, text. -> c_did, ``copies``: hashes of those of its texts that an earlier did has as well; ``only``: it has no other.
+def keyed(docs: DataFrame) -> DataFrame:
+    """did (a null doc_id as the least integer), doc_id, row (hash of the text), text (null as empty)."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("did"), "doc_id", F.xxhash64(text).alias("row"), text.alias("text"))
+
+
+def exact_copies(base: DataFrame) -> DataFrame:
+    """base: keyed(). -> (c_did, c_row) of the rows whose text an earlier did has as well, written.
 
     Texts are compared by length and two hashes.
     """
-    prints = [F.octet_length("text"), F.xxhash64("text"), F.xxhash64(F.lit(7), "text")]
-    hashed = docs.select("did", *[p.alias(f"p{k}") for k, p in enumerate(prints)])
-    firsts = hashed.groupBy("p0", "p1", "p2").agg(F.min("did").alias("least"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-    copy = F.coalesce(F.col("did") > F.col("least"), F.lit(False))
-    marked = hashed.join(firsts, ["p0", "p1", "p2"], "left").groupBy(F.col("did").alias("c_did"))
-    found = marked.agg(F.collect_set(F.when(copy, F.col("p1"))).alias("copies"), F.min(copy).alias("only"))
-    return written(found.filter(F.size("copies") > 0), "copies")
-
-
-def with_runs(docs: DataFrame, runs: DataFrame, copies: DataFrame, *also) -> DataFrame:
-    """docs (did, doc_id, text) with ``also`` (columns computed from the text), ``copy`` (an earlier did has the same text) and, for others, their
-    ``runs`` [(first, n, anchor, crowded)], null where there are none; the text only where there are some. Texts move once."""
-    runs = runs.join(copies.filter("only"), F.col("did") == F.col("c_did"), "left_anti")
-    lists = runs.groupBy(F.col("did").alias("r_did")).agg(F.sort_array(F.collect_list(F.struct("first", "n", "anchor", "crowded"))).alias("runs"))
-    marks = lists.join(copies, F.col("r_did") == F.col("c_did"), "full").select(F.coalesce("r_did", "c_did").alias("m_did"), "runs", "copies")
-    both = docs.join(marks, F.col("did") == F.col("m_did"), "left")
-    copy = F.coalesce(F.array_contains("copies", F.xxhash64("text")), F.lit(False))
-    both = both.select("did", "doc_id", "text", *also, copy.alias("copy"), "runs")
-    use = F.col("runs").isNotNull() & ~F.col("copy")
-    return both.withColumns({"text": F.when(use, F.col("text")), "runs": F.when(use, F.col("runs"))})
+    hashed = base.select("did", "row", F.octet_length("text").alias("size"), F.xxhash64(F.lit(7), "text").alias("also"))
+    firsts = hashed.groupBy("size", "row", "also").agg(F.min("did").alias("least"), F.max("did").alias("most")).filter("least < most").drop("most")
+    firsts = written(firsts, "copy_groups")  # so that the rows of a frequent text can be split in the join
+    found = hashed.join(firsts, ["size", "row", "also"]).filter("did > least")
+    copies = written(found.select(F.col("did").alias("c_did"), F.col("row").alias("c_row")).distinct(), "copies")
+    discard(firsts)
+    return copies
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """did (a null doc_id as the least integer), doc_id, text (null as empty)."""
-    return docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("did"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def settled(base: DataFrame, size: int, *also) -> DataFrame:
+    """base: keyed(). -> did, row, doc_id, columns ``also`` of the text, copy (of an earlier did), text (null for copies); bucketed by (did, row).
+
+    size: bytes of all texts, about. The texts move here, and not again.
+    """
+    copies = exact_copies(base)
+    both = base.join(copies.hint("shuffle_hash"), (F.col("did") == F.col("c_did")) & (F.col("row") == F.col("c_row")), "left")
+    copy = F.col("c_did").isNotNull()
+    table = written_in_buckets(both.select("did", "row", "doc_id", *also, copy.alias("copy"), F.when(~copy, F.col("text")).alias("text")), "documents", ("did", "row"), size >> 24)
+    discard(copies)
+    return table
+
+
+def with_lists(table: DataFrame, rows: DataFrame, name: str, *fields: str, how: str = "left") -> DataFrame:
+    """settled() and the rows (did, row, fields) of each document as a sorted list of structs, null where there are none. Only the rows move."""
+    lists = rows.groupBy(F.col("did").alias("l_did"), F.col("row").alias("l_row")).agg(F.sort_array(F.collect_set(F.struct(*fields))).alias(name))
+    both = table.join(lists.hint("shuffle_hash"), (F.col("did") == F.col("l_did")) & (F.col("row") == F.col("l_row")), how)
+    return both.drop("l_did", "l_row")
+
+
+SEGMENTS = "anchor long, did long, row long, first long, n long, segment binary"
+#: windows: [segment bytes] by value; at: its places in the document. w is null where ``later``: an earlier place is in the same portion.
+WINDOWS = "w binary, did long, row long, at array<long>, later boolean"
+Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _stretches(batches, symbols: Symbols, window: int, crowded: bool, most_bytes: int):
+    """Per portion of documents with runs: did and row of each, the runs' documents, first, n, anchor, and the symbols' bytes, starts and ends.
+    batches: did, row, text, runs."""
+    for b in batches:
+        lists, dids, rows = b.column(3), b.column(0).to_numpy(), b.column(1).to_numpy()
+        for i, data, offsets in portions(b.column(2), most_bytes):
+            part = lists.slice(i, len(offsets) - 1)
+            ends = part.offsets.to_numpy()
+            flat = part.values.slice(ends[0], ends[-1] - ends[0])
+            use = np.flatnonzero(flat.field(3).to_numpy(zero_copy_only=False) == crowded)
+            if not len(use):
+                continue
+            first, n, anchor = (flat.field(k).to_numpy()[use].astype(np.int64) for k in (0, 1, 2))
+            doc = np.repeat(np.arange(len(offsets) - 1), np.diff(ends))[use]
+            data, starts, stops, by_doc = symbols(data, offsets)
+            yield dids[i:][doc], rows[i:][doc], first, n, anchor, by_doc[:-1][doc] + first, data, starts, stops
+
+
+def _binary(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Array:
+    """The stretches data[a:b], copied."""
+    raw = data.tobytes()
+    return pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())
+
+
+def _segments(symbols: Symbols, window: int):
+    def cut(batches):
+        for did, row, first, n, anchor, at, data, starts, stops in _stretches(batches, symbols, window, False, 1 << 20):
+            for k in range(0, len(n), 10_000):
+                z = slice(k, k + 10_000)
+                cells = _binary(data, starts[at[z]], stops[at[z] + n[z] + window - 2])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[z]) for c in (anchor, did, row, first, n)), cells], names=["anchor", "did", "row", "first", "n", "segment"])
+
+    return cut
+
+
+def _windows(symbols: Symbols, window: int, across: bool):
+    def cut(batches):
+        for did, row, first, n, _, at, data, starts, stops in _stretches(batches, symbols, window, True, 1 << 18):
+            for lo, hi in _slices(n, 100_000):
+                of = np.repeat(np.arange(lo, hi), n[lo:hi])
+                inside = np.arange(len(of)) - np.repeat(np.cumsum(n[lo:hi]) - n[lo:hi], n[lo:hi])
+                s = at[of] + inside
+                cells = _binary(data, starts[s], stops[s + window - 1])
+                code = cells.dictionary_encode().indices.to_numpy()
+                place = first[of] + inside
+                order = np.lexsort((place, row[of], did[of], code))
+                c, d, r, p = code[order], did[of][order], row[of][order], place[order]
+                head = np.ones(len(c), bool)
+                head[1:] = c[1:] != c[:-1]
+                lead = np.maximum.accumulate(np.where(head, np.arange(len(c)), 0))
+                new = head.copy()
+                new[1:] |= (d[1:] != d[:-1]) | (r[1:] != r[:-1])
+                later = d > d[lead]
+                if not across:  # a later place of the first document is no first place either
+                    later |= p > p[lead]
+                    new[1:] |= later[1:] != later[:-1]
+                g = np.flatnonzero(new)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(g, len(c)), pa.int32()), pa.array(p))
+                cells = cells.take(pa.array(order[g], mask=later[g]))
+                yield pa.RecordBatch.from_arrays([cells, pa.array(d[g]), pa.array(r[g]), lists, pa.array(later[g])], names=["w", "did", "row", "at", "later"])
+
+    return cut
+
+
+def _slices(n: np.ndarray, most: int):
+    """[lo, hi) with about ``most`` in all."""
+    cuts = np.searchsorted(np.cumsum(n), np.arange(most, int(n.sum()) + most, most)) + 1
+    cuts = np.unique(np.concatenate(([0], np.minimum(cuts, len(n)))))
+    return zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
+
+
+def _whole_anchors(batches):
+    """Tables of some COMPARED bytes that hold all segments of their anchors. batches: sorted by anchor."""
+    held, size, enough = [], 0, COMPARED
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size < enough:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        anchor = table.column(0).to_numpy()
+        last = int(np.searchsorted(anchor, anchor[-1]))
+        if last:
+            yield table.slice(0, last)
+            held, size, enough = table.slice(last).to_batches(), 0, COMPARED
+            size = sum(x.nbytes for x in held)
+        enough = max(enough, 2 * size)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+SPANS = "did long, row long, start long, end long"
+Compare = Callable[[pa.Table], pa.RecordBatch]
+
+
+def repeated_spans(table: DataFrame, runs: DataFrame, symbols: Symbols, compare: Compare, *, window: int, across: bool) -> DataFrame:
+    """settled() and its shared runs -> stretches of symbols that occur earlier (SPANS, which may overlap), written.
+
+    compare: all segments of some anchors (SEGMENTS) -> SPANS. across: only what a smaller did has is earlier; else also an earlier place
+    of the same did.
+    """
+    some = with_lists(table, runs, "runs", "first", "n", "anchor", "crowded", how="inner").select("did", "row", "text", "runs")
+    segments = some.mapInArrow(_segments(symbols, window), SEGMENTS)
+
+    def compared(batches):
+        for t in _whole_anchors(batches):
+            yield compare(t)
+            release()
+
+    found = segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compared, SPANS)
+    crowd = written(some.mapInArrow(_windows(symbols, window, across), WINDOWS), "crowds")
+    first = F.min("did") if across else F.min(F.struct("did", F.element_at("at", 1).alias("at")))
+    firsts = crowd.filter("NOT later").groupBy("w").agg(first.alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
+    firsts = written(firsts, "crowd_firsts")
+    told = crowd.filter("NOT later").join(firsts, "w")
+    if across:
+        told = told.filter(F.col("did") > F.col("first"))
+    else:
+        told = told.filter((F.col("did") > F.col("first.did")) | ((F.col("did") == F.col("first.did")) & (F.element_at("at", 1) > F.col("first.at"))))
+    hit = told.select("did", "row", "at").union(crowd.filter("later").select("did", "row", "at"))
+    hit = hit.select("did", "row", F.explode("at").alias("start")).withColumn("end", F.col("start") + window)
+    spans = written(found.union(hit), "spans", batch=4000)
+    discard(crowd, firsts)
+    return spans
+
+
+def in_steps(batches, rows: int = 250):
+    """Batches of few rows: a caller's setting may put thousands of texts in one."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
+def merged(at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches in order of their starts, those that overlap or touch as one."""
+    end = np.maximum.accumulate(end)
+    new = np.ones(len(at), bool)
+    new[1:] = at[1:] > end[:-1]
+    first = np.flatnonzero(new)
+    return at[first], end[np.append(first[1:], len(at)) - 1]

@@ -1,15 +1,14 @@
-"""Dedup of byte windows: remove bytes that an earlier document already holds in a stretch of ``window`` bytes.
+"""Suffix dedup: remove bytes that an earlier document already holds in a stretch of ``window`` bytes.
 
-No suffix array is built; windows are grouped by hash. Exact copies are settled by hash, and of
-the other texts those windows are taken whose anchor occurs in another document (see anchors). Windows of one
-anchor travel together as one segment of text; equal windows have equal anchors, so a task sees all
-windows of its anchors. It sorts them by hash; a window has an earlier match if the least document of its run of equal
-hashes is an earlier one. The later copy's bytes go, the first stays.
+Exact copies are told first; of the other texts those stretches are taken whose anchor occurs in another document (see anchors).
+All stretches of one anchor meet in one task. Equal ones collapse to that of the least document. The suffixes that start in the
+others are sorted by their bytes, as far as ``window``; what neighbours in that order share, and the previous and the next
+suffix of a smaller document, give the longest previous factor of each: a suffix whose factor
+reaches ``window`` repeats an earlier document. The later copy's bytes go, the first stays. Factors are told up to ``window`` bytes: whether one is
+longer changes nothing, since each byte position is judged by itself.
 
-Anchors so frequent that a task shouldn't hold all their segments go window by window through
-an aggregate (least document by hash), which combines before it shuffles.
-
-Windows are compared by 64-bit hashes, copies by length and two such hashes.
+The suffix order is that of the stretches of an anchor, not of the whole corpus: equal windows have equal anchors, so no match is lost.
+Bytes are compared, copies by 128 bits of hashes and length.
 
 Defined cases: null and empty texts have no bytes; of rows with one doc_id (null: the least one) neither is
 earlier, each is judged by itself; an empty table gives an empty result.
@@ -24,14 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.anchors import exact_copies, keyed, least_grams, shared_runs, with_runs
-from larkspur.llm.arrays import Prefix, portions, release
-from larkspur.llm.common import documents, written
+from larkspur.llm.anchors import in_steps, keyed, least_grams, merged, repeated_spans, settled, shared_runs, with_lists
+from larkspur.llm.arrays import Prefix
+from larkspur.llm.common import discard, documents, written
 
 GRAM = 20
-#: Bytes of segments that a task sorts at once.
-SORTED_BYTES = 4 << 20
-SPANS = "did long, row long, start long, end long"
 
 
 def _places(window: int, gram: int):
@@ -44,123 +40,95 @@ def _places(window: int, gram: int):
     return find
 
 
-def earlier_factor(order: np.ndarray, keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Whether each suffix matches one of a smaller document; order: equal keys next to
-    each other. The least document of each run of equal keys is compared."""
-    k, d = keys[order], docs[order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    start = np.flatnonzero(new)
-    least = np.repeat(np.minimum.reduceat(d, start), np.diff(np.append(start, len(k))))
-    out = np.zeros(len(k), bool)
-    out[order] = least < d
-    return out
-
-
-def _merged(owner: np.ndarray, start: np.ndarray, width: int):
-    """Overlapping or touching stretches [start, start + width) of one owner as one; input in order."""
-    if not len(start):
-        return start, start, start
-    new = np.ones(len(start), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (start[1:] > start[:-1] + width)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(start)) - 1
-    return owner[first], start[first], start[last] + width
-
-
-def _compare(segments, window: int):
-    """segments: [(did, row, first, bytes)] of whole anchors -> removable stretches."""
-    did = np.array([s[0] for s in segments], np.int64)
-    row = np.array([s[1] for s in segments], np.int64)
-    first = np.array([s[2] for s in segments], np.int64)
-    data = np.frombuffer(b"".join(s[3] for s in segments), np.uint8)
-    sizes = np.array([len(s[3]) for s in segments])
-    n = sizes - window + 1
-    seg = np.repeat(np.arange(len(n)), n)
-    inside = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
-    at = inside + np.repeat(np.cumsum(sizes) - sizes, n)
-    keys = Prefix(data).hashes(at, at + window)
-    hit = np.flatnonzero(earlier_factor(np.argsort(keys), keys, did[seg]))
-    owner, start, end = _merged(seg[hit], inside[hit] + first[seg[hit]], window)
-    return pa.RecordBatch.from_arrays([pa.array(did[owner]), pa.array(row[owner]), pa.array(start), pa.array(end)], names=["did", "row", "start", "end"])
-
-
-def repeated_spans(docs: DataFrame, *, window: int) -> tuple[DataFrame, DataFrame]:
-    """(per row: did, row, doc_id, n_bytes, copy, whole_sha, text or null; did, row, start, end: bytes to remove, which may overlap)."""
-    gram = min(GRAM, window)
-    base = keyed(docs)
-    copies = exact_copies(base)
-    size = base.agg(F.sum(F.length("text"))).first()[0] or 0
-    runs = written(shared_runs(base, _places(window, gram), symbols=size // 14, across=True), "runs")
-    also = F.xxhash64("text").alias("row"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole_sha")
-    table = written(with_runs(base, runs, copies, *also), "documents")
-    some = table.filter(F.col("runs").isNotNull()).select("did", "row", "text", "runs")
-
-    def segments(crowded: bool):
-        def cut(batches):
-            for b in batches:
-                lists, dids, rows = b.column(3), b.column(0), b.column(1)
-                for i, data, offsets in portions(b.column(2)):
-                    part = lists.slice(i, len(offsets) - 1)
-                    ends = part.offsets.to_numpy()
-                    flat = part.values
-                    z = slice(ends[0], ends[-1])
-                    first, n, anchor = (flat.field(k).to_numpy()[z].astype(np.int64) for k in (0, 1, 2))
-                    crowd = flat.field(3).to_numpy(zero_copy_only=False)[z]
-                    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(ends))
-                    n = np.minimum(n, np.diff(offsets)[doc] - window + 1 - first)  # runs of another row of the same doc_id may not fit
-                    use = np.flatnonzero((crowd == crowded) & (n > 0))
-                    first, n, anchor, doc = first[use], n[use], anchor[use], doc[use]
-                    if crowded:
-                        prefix = Prefix(data)
-                        of = np.repeat(np.arange(len(n)), n)
-                        at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + first[of]
-                        s = at + offsets[:-1][doc[of]]
-                        for k in range(0, len(s), 100_000):
-                            q = slice(k, k + 100_000)
-                            own = pa.array(doc[of][q] + i)
-                            yield pa.RecordBatch.from_arrays([pa.array(prefix.hashes(s[q], s[q] + window).view(np.int64)), dids.take(own), rows.take(own), pa.array(at[q])], names=["w", "did", "row", "at"])
-                        continue
-                    s = offsets[:-1][doc] + first
-                    raw = data.tobytes()
-                    for k in range(0, len(s), 20_000):
-                        q = slice(k, k + 20_000)
-                        own = pa.array(doc[q] + i)
-                        cells = [raw[x:y] for x, y in zip(s[q].tolist(), (s + n + window - 1)[q].tolist(), strict=True)]
-                        yield pa.RecordBatch.from_arrays([pa.array(anchor[q]), dids.take(own), rows.take(own), pa.array(first[q]), pa.array(cells, pa.binary())], names=["anchor", "did", "row", "first", "segment"])
-
-        return cut
-
-    def compare(batches):
-        held, size, last = [], 0, None
-        for b in batches:
-            for anchor, *segment in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                if anchor != last and size >= SORTED_BYTES:
-                    yield _compare(held, window)
-                    held, size = [], 0
-                    release()
-                last = anchor
-                held.append(segment)
-                size += len(segment[3])
-        if held:
-            yield _compare(held, window)
-
-    few = some.mapInArrow(segments(False), "anchor long, did long, row long, first long, segment binary")
-    found = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, SPANS)
-    many = some.mapInArrow(segments(True), "w long, did long, row long, at long")
-    least = many.groupBy("w").agg(F.min("did").alias("least"), F.max("did").alias("most")).filter("least < most").drop("most")
-    crowd = many.join(least, "w").filter("did > least").select("did", "row", F.col("at").alias("start"), (F.col("at") + window).alias("end"))
-    return table, written(found.union(crowd), "spans")
+def _symbols(data, offsets):
+    at = np.arange(len(data))
+    return data, at, at + 1, offsets
+
+
+def suffix_order(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes of ``data`` at ``at`` by their first ``depth`` bytes (equal ones as given), and how many of these
+    each shares with the one before it in that order."""
+    rows = np.lib.stride_tricks.sliding_window_view(data, depth)[at]
+    order = np.argsort(np.ascontiguousarray(rows).view(f"S{depth}").ravel(), kind="stable")
+    rows = rows[order]
+    shared = np.zeros(len(at), np.int64)
+    same = rows[1:] == rows[:-1]
+    shared[1:] = np.where(same.all(axis=1), depth, same.argmin(axis=1))
+    return order, shared
+
+
+def previous_factors(shared: np.ndarray, docs: np.ndarray, least: int) -> np.ndarray:
+    """For suffixes in suffix order the longest beginning that a suffix of a smaller document has as well; 0 where below ``least``.
+
+    The best match is the previous or the next suffix of a smaller document in the order. Every suffix starts at its neighbour and jumps to
+    where that one points, until it meets a smaller document or the shared beginning falls below ``least``.
+    """
+    best = np.zeros(len(docs), np.int64)
+    for step in (1, -1):
+        d = docs[::step]
+        m = shared.copy() if step == 1 else np.concatenate(([0], shared[:0:-1]))
+        to = np.arange(len(d)) - 1
+        while True:
+            on = np.flatnonzero((m >= least) & (d[to] >= d))
+            if not len(on):
+                break
+            m[on], to[on] = np.minimum(m[on], m[to[on]]), to[to[on]]
+        best = np.maximum(best, np.where(m >= least, m, 0)[::step])
+    return best
+
+
+def _compare(window: int):
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        anchor, did, row, first, n = (t.column(k).to_numpy() for k in range(5))
+        cells = t.column(5).combine_chunks().dictionary_encode()
+        code = cells.indices.to_numpy()
+        order = np.lexsort((did, code))
+        lead = order[np.flatnonzero(np.diff(code[order], prepend=-1))]  # of each different segment the least document
+        least = did[lead]
+        whole = np.flatnonzero(did > least[code])
+        spans = [(did[whole], row[whole], first[whole], first[whole] + n[whole] + window - 1)]
+        _, group, several = np.unique(anchor[lead], return_inverse=True, return_counts=True)
+        use = np.flatnonzero(several[group] > 1)
+        if len(use):
+            segments = cells.dictionary.take(pa.array(use))
+            ends = np.frombuffer(segments.buffers()[1], np.int32)[segments.offset :][: len(use) + 1].astype(np.int64)
+            data = np.frombuffer(segments.buffers()[2], np.uint8)
+            count = n[lead[use]]
+            of = np.repeat(np.arange(len(use)), count)
+            inside = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+            suffixes, shared = suffix_order(data, ends[:-1][of] + inside, window)
+            factor = np.zeros(len(of), np.int64)
+            factor[suffixes] = previous_factors(shared, least[use][of[suffixes]], window)
+            hit = np.flatnonzero(factor >= window)
+            # Neighbouring windows of a segment as one stretch, then for each row that has the segment.
+            of, inside = of[hit], inside[hit]
+            new = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(inside, prepend=-2) > 1))
+            last = np.append(new[1:], len(of))[: len(new)] - 1
+            of, a, z = of[new], inside[new], inside[last] + window
+            holders = np.flatnonzero(did == least[code])
+            holders = holders[np.argsort(code[holders], kind="stable")]
+            low, high = (np.searchsorted(code[holders], use[of], side) for side in ("left", "right"))
+            again = np.repeat(np.arange(len(of)), high - low)
+            who = holders[np.arange(len(again)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[again]]
+            spans.append((did[who], row[who], first[who] + a[again], first[who] + z[again]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*spans, strict=True)], names=["did", "row", "start", "end"])
+
+    return compare
 
 
 def suffix_dedup(docs: DataFrame, *, window: int = 50) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, ``spans`` [(start, end)] of removed bytes, and ``kept`` (the
     remaining bytes; null: as they were)."""
-    table, spans = repeated_spans(docs, window=window)
-    lists = spans.groupBy("did", "row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("at")).withColumnsRenamed({"did": "l_did", "row": "l_row"})
+    gram = min(GRAM, window)
+    base = keyed(docs)
+    size = base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    table = settled(base, size, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole_sha"))
+    runs = written(shared_runs(table.filter("NOT copy"), _places(window, gram), symbols=size // 14, across=True), "runs")
+    spans = repeated_spans(table, runs, _symbols, _compare(window), window=window, across=True)
+    discard(runs)
 
     def cut(batches):
-        for b in batches:
+        for b in in_steps(batches):
             out = []
             keys, sizes, copies, shas, texts = (b.column(k).to_pylist() for k in range(5))
             lists = b.column(5)
@@ -173,11 +141,8 @@ def suffix_dedup(docs: DataFrame, *, window: int = 50) -> DataFrame:
                     out.append((0, 0, whole, [], None))
                     continue
                 raw = text.encode()
-                s, e = at.values.field(0).to_numpy(), np.maximum.accumulate(at.values.field(1).to_numpy())
-                new = np.ones(len(s), bool)
-                new[1:] = s[1:] > e[:-1]
-                first = np.flatnonzero(new)
-                pairs = list(zip(s[first].tolist(), e[np.append(first[1:], len(s)) - 1].tolist(), strict=True))
+                s, e = merged(at.values.field(0).to_numpy(), at.values.field(1).to_numpy())
+                pairs = list(zip(s.tolist(), e.tolist(), strict=True))
                 ends = [0, *(x for p in pairs for x in p), len(raw)]
                 kept = b"".join(raw[x:y] for x, y in zip(ends[::2], ends[1::2], strict=True))
                 out.append((len(raw) - len(kept), len(pairs), hashlib.sha256(kept).hexdigest(), [{"start": x, "end": y} for x, y in pairs], kept))
@@ -187,7 +152,7 @@ def suffix_dedup(docs: DataFrame, *, window: int = 50) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"],
             )
 
-    both = table.drop("runs").join(lists, (F.col("did") == F.col("l_did")) & (F.col("row") == F.col("l_row")), "left")
+    both = with_lists(table, spans, "at", "start", "end")
     return both.select("doc_id", "n_bytes", "copy", "whole_sha", "text", "at").mapInArrow(
         cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>, kept binary"
     )
