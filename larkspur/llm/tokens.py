@@ -87,12 +87,14 @@ _LETTER[65:91] = _LETTER[97:123] = True
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _ONE = np.uint64(1)
+#: Pieces that are looked up, and learnt, at once: with the limit of what is remembered they fill the store to two thirds at most.
+PIECES = 400_000
 
 
 class Encoder:
-    """``limit``: pieces to remember; past it the memory starts anew."""
+    """``limit``: pieces to remember; past it the memory starts anew, within a text as well."""
 
-    def __init__(self, name: str, limit: int = 1_400_000):
+    def __init__(self, name: str, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -177,6 +179,19 @@ class Encoder:
         slow[np.searchsorted(offsets, at, "right") - 1] = True
         return cuts[:-1], cuts[1:], letters[cuts[:-1]], np.searchsorted(cuts, offsets), slow
 
+    def _ids(self, raw: bytes, keys, use, a, b, plain) -> tuple[np.ndarray, np.ndarray]:
+        """Ids on end of the pieces raw[a:b], and how many each has; none for those not in use."""
+        rows = np.zeros(len(a), np.int32)
+        rows[use] = self.store.get(keys[use])
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            fresh, at = np.unique(keys[new], return_index=True)
+            at = new[at]
+            pieces = [raw[x:y].decode() for x, y in zip(a[at].tolist(), b[at].tolist(), strict=True)]
+            self._learn(fresh, pieces, plain[at])
+            rows[new] = self.store.get(keys[new])
+        return self.store.take(rows)
+
     def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids on end (uint32), and how many each document has."""
         docs = len(offsets) - 1
@@ -186,8 +201,6 @@ class Encoder:
             return np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(x) for x in found], np.int64)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(docs, np.int64)
-        if self.store.count > self.limit:
-            self.store = Store()
         a, b, plain, by_doc, slow = self._cut(data, offsets)
         raw = data.tobytes()
         for content in self.added:
@@ -201,17 +214,13 @@ class Encoder:
             data = np.where(upper, data + np.uint8(32), data)
         keys = np.maximum(Prefix(data).hashes(a, b), _ONE)
         use = np.repeat(~slow, np.diff(by_doc)) if slow.any() else np.ones(len(a), bool)
-        rows = np.zeros(len(a), np.int32)
-        rows[use] = self.store.get(keys[use])
-        new = np.flatnonzero(rows < 0)
-        if len(new):
-            fresh, at = np.unique(keys[new], return_index=True)
-            at = new[at]
-            raw = data.tobytes()
-            pieces = [raw[x:y].decode() for x, y in zip(a[at].tolist(), b[at].tolist(), strict=True)]
-            self._learn(fresh, pieces, plain[at])
-            rows[new] = self.store.get(keys[new])
-        ids, n = self.store.take(rows)
+        raw, parts = data.tobytes(), [(np.zeros(0, np.uint32), np.zeros(0, np.int64))]
+        for i in range(0, len(a), PIECES):
+            z = slice(i, i + PIECES)
+            if self.store.count > self.limit:
+                self.store = Store()
+            parts.append(self._ids(raw, keys[z], use[z], a[z], b[z], plain[z]))
+        ids, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         ends = np.concatenate(([0], np.cumsum(n)))[by_doc]
         n = np.diff(ends)
         if slow.any():

@@ -92,3 +92,14 @@ def test_tiers_of_more_tokens_than_products_of_64_bits_hold():
     own, _ = s.given(0, np.array([4000, 4 * 10**12 + 13]))
     assert abs(int(own[0]) - 1000) <= 4 and int(own[1]) == 10**12
     assert s.order(0, np.array([999_999]))[0] // 4 in range(999_990, 1_000_010)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_a_text_with_millions_of_different_words(name):
+    """More pieces than the store remembers, in one text."""
+    text = " ".join(f"{'abcdefghij'[i % 10]}{chr(97 + i // 10 % 26)}{chr(97 + i // 260 % 26)}{chr(97 + i // 6760 % 26)}{chr(97 + i // 175760 % 26)}" for i in range(2_600_000))
+    e = Encoder(name)
+    ids, n = e.encode([text])
+    part = 26_000 * 6  # the library itself, piece by piece: every word but the first of a part has the blank before it
+    want = [x.ids for x in e.library.encode_batch([text[i : i + part].rstrip(" ") if i == 0 else " " + text[i : i + part].rstrip(" ") for i in range(0, len(text), part)], add_special_tokens=False)]
+    assert n.tolist() == [sum(map(len, want))] and ids.tolist() == [i for x in want for i in x]
