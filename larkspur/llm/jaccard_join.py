@@ -5,7 +5,8 @@ by a frequency sketch of fixed size over the whole corpus, then by hash. Two set
 if they share a shingle within their first n - ceil(t n) + 1, the first of which leaves enough to follow; those prefixes meet in buckets (see
 anchors), which answer with the shingles that several documents hold.
 
-Equal sets collapse to one before anything is compared. Then, in rounds, each shared shingle names pivots among its documents,
+Equal sets collapse to one before anything is compared. The texts of the others that share a prefix are written once, bucketed by document: pairs
+move to them, they don't move again. Then, in rounds, each shared shingle names pivots among its documents,
 the one with most shared shingles and four others at first, four times as many each round, and every document of another component is compared with them.
 Comparing is a walk of a prefix tree: the documents to compare with a pivot are stored as
 a trie of their ordered shingles (sorted, with the length of the path shared with the one before); the walk
@@ -16,7 +17,7 @@ components are those of the full join, without its pairs.
 
 Defined cases: upper-case A-Z are lower case; null and empty texts and texts without a word have the empty set, linked
 with nothing; fewer words than a shingle are one shingle. Rows that share a doc_id (null: the least one) are versions of one
-document and in one component; an empty table gives an empty result.
+document and in one component, each compared by itself; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.anchors import keyed, shared_runs
 from larkspur.llm.arrays import U, Prefix, by_document, lower_ascii, mix, portions, word_prefix, words
-from larkspur.llm.common import documents, written
+from larkspur.llm.common import discard, documents, written, written_in_buckets
 from larkspur.llm.components import components
 
 #: Counters of the frequency sketch: 4 MB whatever the corpus.
@@ -64,25 +65,25 @@ def _sums(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """Rows (did, doc_id, n, s1, s2) of documents: size and fingerprint of the set; rows (part, counts) of each task's sketch."""
+    """Rows (did, row, doc_id, n, s1, s2) of documents: size and fingerprint of the set; rows (part, counts) of each task's sketch."""
 
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
-            for i, data, offsets in portions(b.column(2)):
+            for i, data, offsets in portions(b.column(3)):
                 h, cut = doc_sets(data, offsets, shingle)
                 sketch += np.bincount((h >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
                 k = len(cut) - 1
                 cols = [pa.array(x.view(np.int64)) for x in (_sums(mix(h), cut), _sums(mix(h ^ U(0xA5A5A5A55A5A5A5A)), cut))]
                 none = [pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, k), b.column(1).slice(i, k), pa.array(np.diff(cut)), *cols, *none], names=names)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, k) for c in range(3)), pa.array(np.diff(cut)), *cols, *none], names=names)
         if sketch.any():
             size = len(sketch) // _PARTS
             cells = [sketch[k * size : (k + 1) * size].astype("<u4").tobytes() for k in range(_PARTS)]
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(_PARTS, pa.int64()) for _ in range(5)), pa.array(range(_PARTS), pa.int32()), pa.array(cells, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(_PARTS, pa.int64()) for _ in range(6)), pa.array(range(_PARTS), pa.int32()), pa.array(cells, pa.binary())], names=names)
 
-    names = ["did", "doc_id", "n", "s1", "s2", "part", "counts"]
-    return docs.select("did", "doc_id", "text").mapInArrow(run, "did long, doc_id long, n long, s1 long, s2 long, part int, counts binary")
+    names = ["did", "row", "doc_id", "n", "s1", "s2", "part", "counts"]
+    return docs.select("did", "row", "doc_id", "text").mapInArrow(run, "did long, row long, doc_id long, n long, s1 long, s2 long, part int, counts binary")
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
@@ -188,12 +189,13 @@ class Trie:
         return found
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, *, shingle: int, percent: int, sketch, chunk: int = 256) -> DataFrame:
-    """pairs (a, b) -> those that are similar. A pivot a with many b is dealt out in chunks."""
+def similar_pairs(pairs: DataFrame, texts: DataFrame, *, shingle: int, percent: int, sketch, chunk: int = 64) -> DataFrame:
+    """pairs (a, b) -> those that are similar. A pivot a with many b is dealt out in chunks. texts: bucketed by did; the pairs move to them."""
     chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
-    pivots = chunks.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part")).join(texts, F.col("a") == F.col("did"))
-    members = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks").cast("long")).cast("int").alias("part")).join(texts, F.col("b") == F.col("did"))
-    rows = pivots.select("a", "part", F.lit(0).alias("kind"), F.col("a").alias("b"), "text").union(members.select("a", "part", F.lit(1).alias("kind"), "b", "text"))
+    pivots = chunks.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("a").alias("b"))
+    part = F.pmod(F.xxhash64("b"), F.col("chunks").cast("long")).cast("int")
+    asked = pivots.union(pairs.join(chunks, "a").select("a", part.alias("part"), F.lit(1).alias("kind"), "b"))
+    rows = texts.join(asked.hint("shuffle_hash"), F.col("b") == F.col("did")).select("a", "part", "kind", "b", "text")
 
     def sets(texts_):
         out = []
@@ -237,24 +239,29 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80)
     base = keyed(docs)
     signed = written(signatures(base, shingle), "signatures")
     sketch = docs.sparkSession.sparkContext.broadcast(_sketch(signed))  # of fixed size
-    rows = signed.filter("part IS NULL").select("did", "doc_id", "n", "s1", "s2")
-    total = rows.agg(F.sum("n")).first()[0] or 0
+    rows = signed.filter("part IS NULL").select("did", "row", "doc_id", "n", "s1", "s2")
+    told = rows.agg(F.sum("n"), F.count(F.lit(1))).first()
+    total = told[0] or 0
     first = rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("did").alias("rep"), F.count(F.lit(1)).alias("times"))
     firsts = written(first.filter("times > 1").drop("times"), "copies")
-    reps = rows.join(firsts, ["n", "s1", "s2"], "left").select("did", "doc_id", "n", F.coalesce("rep", "did").alias("rep"))
+    reps = rows.join(firsts, ["n", "s1", "s2"], "left").select("did", "row", "doc_id", "n", F.coalesce("rep", "did").alias("rep"))
     reps = written(reps, "representatives")
-    versions = reps.filter("n > 0").groupBy("did").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count(F.lit(1)).alias("times"))
-    links = [reps.filter("n > 0").join(versions.filter("times > 1").select("did", "a"), "did").select("a", F.col("rep").alias("b"))]
-    copies = reps.filter("did != rep").select("did").distinct()
+    discard(signed, firsts)
+    versions = reps.filter("n > 0").groupBy("did").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("times"))
+    links = [written(reps.filter("n > 0").join(versions.filter("times > 1").select("did", "a"), "did").select("a", F.col("rep").alias("b")), "links")]
+    copies = reps.filter("did != rep").select("did", "row").distinct()
 
-    shared = shared_runs(base, _prefixes(shingle, percent, sketch), symbols=total * (100 - percent) // 100 + 1, across=True)
-    shared = written(shared.join(copies, "did", "left_anti").select("did", "anchor", "n", F.col("first").alias("place")), "shared")
+    runs = shared_runs(base, _prefixes(shingle, percent, sketch), symbols=total * (100 - percent) // 100 + 1, across=True)
+    runs = written(runs.join(copies, ["did", "row"], "left_anti").select("did", "row", "anchor", "n", F.col("first").alias("place")), "runs")
+    # One plan at every size: the texts move once, also where the list of candidates would be small enough to broadcast.
+    some = runs.select("did", "row").distinct().hint("shuffle_hash")
+    texts = base.join(some, ["did", "row"], "left_semi").select("did", "text")
+    texts = written_in_buckets(texts, "texts", ("did",), base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] >> 24 if told[1] else 1)
+    shared = runs.drop("row")
     # Documents with many shared shingles in their prefix are the middle of a group: good pivots.
     degrees = shared.groupBy("did").agg(F.count(F.lit(1)).alias("degree"))
     rows_left = written(shared.join(degrees, "did").withColumn("comp", F.col("did")), "prefixes")
-    # One plan at every size: the texts move once, also where the list of candidates would be small enough to broadcast.
-    some = rows_left.select("did").distinct().hint("shuffle_hash")
-    texts = written(base.join(some, "did", "left_semi").select("did", "text"), "texts")
+    discard(runs)
     comp = None
     pivots = 4
     # Each round takes four times as many pivots; when all documents of a shingle are pivots nothing is left.
@@ -275,13 +282,15 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80)
         enough = (100 + percent) * follow >= percent * (F.col("a.n") + F.col("b.n"))
         pairs = written(a.join(b, apart & sizes_fit & enough).select(F.col("a.did").alias("a"), F.col("b.did").alias("b")).distinct(), "pairs")
         links.append(written(similar_pairs(pairs, texts, shingle=shingle, percent=percent, sketch=sketch), "links"))
+        discard(pairs)
         edges = links[0]
         for x in links[1:]:
             edges = edges.union(x)
         comp = components(edges)
-        left = live.filter(~F.col("pivot")).select("did", "anchor", "n", "place", "degree")
+        rows_left_, left = rows_left, live.filter(~F.col("pivot")).select("did", "anchor", "n", "place", "degree")
         rows_left = left.join(comp, F.col("did") == F.col("node"), "left").select("did", "anchor", "n", "place", "degree", F.coalesce("comp", "did").alias("comp"))
-        rows_left = written(rows_left, "prefixes")
+        done, rows_left = rows_left_, written(rows_left, "prefixes")
+        discard(live, done)
         pivots *= 4
     if comp is None:
         comp = components(links[0])

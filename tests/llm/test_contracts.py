@@ -172,6 +172,12 @@ def test_jaccard_join_with_null_and_repeated_ids(make):
     assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=str) == [(10, 10), (7, None), (8, 8), (8, 8), (9, 8), (None, None)]
 
 
+def test_jaccard_join_compares_all_versions_of_one_id(make):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    got = by_id(jaccard_join.jaccard_components(make([(3, a), (7, a), (7, b), (9, b + " x"), (11, "c d e f g")])), "component_id")
+    assert got == {3: (3,), 7: (3,), 9: (3,), 11: (11,)}
+
+
 def test_trie_finds_what_plain_sets_find():
     r = np.random.default_rng(5)
     sketch = r.integers(0, 5, 1 << jaccard_join.SKETCH_BITS).astype(np.uint32)
@@ -257,6 +263,18 @@ def test_token_files(spark, make):
     assert crc == {d: zlib.crc32(np.array(x, "<u4").tobytes()) for d, x in want.items()}
 
 
+def test_token_files_query(spark, make, tmp_path):
+    rows = [*ROWS, (None, "null id", "s0")]
+    make(rows).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    enc = encoder("word_bpe_49k.json").library
+    at, want = 0, {}
+    for d, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+        ids = [*enc.encode(t or "", add_special_tokens=False).ids, 2]
+        want[d] = (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert by_id(token_files.op8_token_files(spark, str(tmp_path)), "start", "n_tokens", "ids_crc32") == want
+
+
 def toxic_rows(n=400, seed=2):
     r = random.Random(seed)
     mild = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
@@ -288,6 +306,15 @@ def test_toxicity_on_held_out_rows(spark, make):
     assert len(odd) == 4 and all(0 <= r["score"] <= 1 for r in odd) and odd[3]["score"] > odd[0]["score"] == odd[1]["score"]
 
 
+def test_toxicity_query(spark, make, tmp_path):
+    rows = toxic_rows()
+    make([(d, t) for d, t, _ in rows]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = by_id(toxicity.op9_toxicity(spark, str(tmp_path)), "held_out", "score", "predicted")
+    assert {d: g[0] for d, g in got.items()} == {d: zlib.crc32(str(d).encode()) % 5 == 0 for d, _, _ in rows}
+    assert all(0 <= s <= 1 and p == (s >= 0.5) for _, s, p in got.values())
+
+
 def test_forward_backward_against_all_taggings():
     from itertools import product
 
@@ -338,3 +365,13 @@ def test_repeated_rows_and_null_ids_do_not_crash(make):
     ):
         assert len(df.collect()) == len(rows)
     assert sum(r["length"] for r in packing.pack(docs).collect()) == sum(len(encoder("byte_bpe_50k.json").library.encode(t or "").ids) + 1 for _, t in rows)
+
+
+def test_line_keys_tell_apart_what_differs_in_more_than_a_to_z(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(5)
+    lines = ["".join(r.choice("aAbBéÉãÃäĄß日Ⴀ😀×K") for _ in range(r.randint(1, 3))) for _ in range(3000)]
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = spark.createDataFrame([(x, x.translate(low)) for x in lines], "line string, want string").select(line_dedup.line_key(F.col("line")).alias("k"), "want").distinct().collect()
+    assert len({x["k"] for x in rows}) == len({x["want"] for x in rows}) == len(rows)
