@@ -9,8 +9,9 @@ An anchor with more than ``MANY`` places in one chunk is shared for certain. Onl
 bucket, to tell others of it; the rest are dealt out by place. So no bucket gathers a frequent anchor.
 
 The windows of a shared anchor then travel together, as one segment of text: equal windows have equal anchors, so whoever holds
-all segments of an anchor holds all places of its windows and compares them by value. Hashes only choose what is compared. Anchors of
-more than ``CROWD`` places go window by window instead, through an aggregate that combines before it shuffles.
+all segments of an anchor holds all places of its windows and compares them by value. Hashes only choose what is compared. Of a frequent
+anchor, equal segments in a portion of documents collapse to the earliest before they travel. Anchors that still have
+more than ``CROWD`` segments go window by window instead, through an aggregate that combines before it shuffles.
 
 Exact copies of earlier documents (length and two hashes, 128 bits) are told first, and none of this sees their texts. The texts are
 written once, bucketed by document, so that what is found about them joins without moving them again.
@@ -19,6 +20,7 @@ written once, bucketed by document, so that what is found about them joins witho
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from larkspur.llm.common import discard, written, written_in_buckets
 
 MANY = 32
 CHUNK = 1 << 18
-#: Places of one anchor beyond which they aren't compared within a task.
+#: Places of one anchor from which its segments collapse in a portion, and segments beyond which they aren't compared within a task.
 CROWD = 20_000
 PLACE, HERALD, KNOWN = 0, 1, 2
 RUNS = "did long, row long, anchor long, first int, n int, crowded boolean"
@@ -96,7 +98,7 @@ def _flush(did, row, anchor, first, n, buckets):
     nth = np.arange(len(anchor)) - np.repeat(start, size)
     often = np.repeat(size > MANY, size)
     kind = np.where(often, np.where(nth < MANY, HERALD, KNOWN), PLACE).astype(np.uint8)
-    by = np.where(kind == KNOWN, mix(did.astype(U) ^ (first.astype(U) << U(20))), anchor)
+    by = mix(np.where(kind == KNOWN, did.astype(U) ^ (first.astype(U) << U(20)), anchor))  # least hashes are small, so mixed again
     bucket = ((by >> U(32)) * U(buckets)) >> U(32)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U))
@@ -230,71 +232,96 @@ def with_lists(table: DataFrame, rows: DataFrame, name: str, *fields: str, how:
 
 
 SEGMENTS = "anchor long, did long, row long, first long, n long, segment binary"
-#: windows: [segment bytes] by value; at: its places in the document. w is null where ``later``: an earlier place is in the same portion.
-WINDOWS = "w binary, did long, row long, at array<long>, later boolean"
+#: at: places of the window ``w`` in the document. Where w is null, an earlier place is in the same portion, and [start, end) are such windows.
+WINDOWS = "w binary, did long, row long, at array<long>, start long, end long"
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
-def _stretches(batches, symbols: Symbols, window: int, crowded: bool, most_bytes: int):
-    """Per portion of documents with runs: did and row of each, the runs' documents, first, n, anchor, and the symbols' bytes, starts and ends.
-    batches: did, row, text, runs."""
-    for b in batches:
-        lists, dids, rows = b.column(3), b.column(0).to_numpy(), b.column(1).to_numpy()
-        for i, data, offsets in portions(b.column(2), most_bytes):
-            part = lists.slice(i, len(offsets) - 1)
-            ends = part.offsets.to_numpy()
-            flat = part.values.slice(ends[0], ends[-1] - ends[0])
-            use = np.flatnonzero(flat.field(3).to_numpy(zero_copy_only=False) == crowded)
-            if not len(use):
-                continue
-            first, n, anchor = (flat.field(k).to_numpy()[use].astype(np.int64) for k in (0, 1, 2))
-            doc = np.repeat(np.arange(len(offsets) - 1), np.diff(ends))[use]
-            data, starts, stops, by_doc = symbols(data, offsets)
-            yield dids[i:][doc], rows[i:][doc], first, n, anchor, by_doc[:-1][doc] + first, data, starts, stops
-
-
 def _binary(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Array:
     """The stretches data[a:b], copied."""
     raw = data.tobytes()
     return pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())
 
 
-def _segments(symbols: Symbols, window: int):
+def flat(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary array without nulls, on end, and the offsets of its cells."""
+    at = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset :][: len(cells) + 1].astype(np.int64)
+    data = cells.buffers()[2]
+    return (np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data else np.zeros(0, np.uint8)), at - at[0]
+
+
+def _earlier(code: np.ndarray, did: np.ndarray, place: np.ndarray, across: bool) -> np.ndarray:
+    """Which rows have one of the same code before them: with a smaller did or, unless ``across``, an earlier place."""
+    order = np.lexsort((place, did, code))
+    lead = np.empty(len(code), np.int64)
+    first = order[np.flatnonzero(np.diff(code[order], prepend=-1))]
+    lead[:] = first[np.searchsorted(code[first], code)]
+    return (did > did[lead]) | ((not across) & (place > place[lead]))
+
+
+def _segments(symbols: Symbols, window: int, crowded: bool, across: bool):
+    """did, row, text, runs -> SEGMENTS of the runs that are (not) crowded; of crowded ones the segment is null if the same one comes earlier in the portion."""
+
     def cut(batches):
-        for did, row, first, n, anchor, at, data, starts, stops in _stretches(batches, symbols, window, False, 1 << 20):
-            for k in range(0, len(n), 10_000):
-                z = slice(k, k + 10_000)
-                cells = _binary(data, starts[at[z]], stops[at[z] + n[z] + window - 2])
-                yield pa.RecordBatch.from_arrays([*(pa.array(c[z]) for c in (anchor, did, row, first, n)), cells], names=["anchor", "did", "row", "first", "n", "segment"])
+        for b in batches:
+            lists, dids, rows = b.column(3), b.column(0).to_numpy(), b.column(1).to_numpy()
+            for i, data, offsets in portions(b.column(2)):
+                part = lists.slice(i, len(offsets) - 1)
+                ends = part.offsets.to_numpy()
+                flat = part.values.slice(ends[0], ends[-1] - ends[0])
+                use = np.flatnonzero(flat.field(3).to_numpy(zero_copy_only=False) == crowded)
+                if not len(use):
+                    continue
+                first, n, anchor = (flat.field(k).to_numpy()[use].astype(np.int64) for k in (0, 1, 2))
+                doc = np.repeat(np.arange(len(offsets) - 1), np.diff(ends))[use]
+                data, starts, stops, by_doc = symbols(data, offsets)
+                at = by_doc[:-1][doc] + first
+                if crowded:  # places of a segment stay together
+                    order = np.argsort(anchor, kind="stable")
+                    first, n, anchor, doc, at = (x[order] for x in (first, n, anchor, doc, at))
+                did, row = dids[i:][doc], rows[i:][doc]
+                for lo, hi in _slices(n + window, 1 << 19):
+                    z = slice(lo, hi)
+                    cells = _binary(data, starts[at[z]], stops[at[z] + n[z] + window - 2])
+                    if crowded:
+                        later = _earlier(cells.dictionary_encode().indices.to_numpy(), did[z], first[z], across)
+                        cells = cells.take(pa.array(np.arange(hi - lo), mask=later))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c[z]) for c in (anchor, did, row, first, n)), cells], names=["anchor", "did", "row", "first", "n", "segment"])
 
     return cut
 
 
 def _windows(symbols: Symbols, window: int, across: bool):
+    """SEGMENTS -> WINDOWS."""
+
     def cut(batches):
-        for did, row, first, n, _, at, data, starts, stops in _stretches(batches, symbols, window, True, 1 << 18):
-            for lo, hi in _slices(n, 100_000):
-                of = np.repeat(np.arange(lo, hi), n[lo:hi])
-                inside = np.arange(len(of)) - np.repeat(np.cumsum(n[lo:hi]) - n[lo:hi], n[lo:hi])
-                s = at[of] + inside
+        for b in batches:
+            dids, rows, firsts, counts = (b.column(k).to_numpy() for k in (1, 2, 3, 4))
+            for lo, hi in _slices(counts, 100_000):
+                did, row, first, n = (x[lo:hi] for x in (dids, rows, firsts, counts))
+                data, starts, stops, by_segment = symbols(*flat(b.column(5).slice(lo, hi - lo)))
+                of = np.repeat(np.arange(len(n)), n)
+                inside = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                s = by_segment[:-1][of] + inside
                 cells = _binary(data, starts[s], stops[s + window - 1])
-                code = cells.dictionary_encode().indices.to_numpy()
-                place = first[of] + inside
-                order = np.lexsort((place, row[of], did[of], code))
-                c, d, r, p = code[order], did[of][order], row[of][order], place[order]
-                head = np.ones(len(c), bool)
-                head[1:] = c[1:] != c[:-1]
-                lead = np.maximum.accumulate(np.where(head, np.arange(len(c)), 0))
-                new = head.copy()
-                new[1:] |= (d[1:] != d[:-1]) | (r[1:] != r[:-1])
-                later = d > d[lead]
-                if not across:  # a later place of the first document is no first place either
-                    later |= p > p[lead]
-                    new[1:] |= later[1:] != later[:-1]
-                g = np.flatnonzero(new)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(g, len(c)), pa.int32()), pa.array(p))
-                cells = cells.take(pa.array(order[g], mask=later[g]))
-                yield pa.RecordBatch.from_arrays([cells, pa.array(d[g]), pa.array(r[g]), lists, pa.array(later[g])], names=["w", "did", "row", "at", "later"])
+                code, did, row, place = cells.dictionary_encode().indices.to_numpy(), did[of], row[of], first[of] + inside
+                later = _earlier(code, did, place, across)
+                gone = np.flatnonzero(later)
+                gone = gone[np.lexsort((place[gone], row[gone], did[gone]))]
+                new = np.flatnonzero((np.diff(row[gone], prepend=0) != 0) | (np.diff(did[gone], prepend=0) != 0) | (np.diff(place[gone], prepend=-2) > 1))
+                if len(gone):
+                    new = np.unique(np.append(new, 0))
+                last = np.append(new[1:], len(gone))[: len(new)] - 1
+                kept = np.flatnonzero(~later)
+                kept = kept[np.lexsort((place[kept], row[kept], did[kept], code[kept]))]
+                head = np.ones(len(kept), bool)
+                head[1:] = (np.diff(code[kept]) != 0) | (np.diff(did[kept]) != 0) | (np.diff(row[kept]) != 0)
+                head = np.flatnonzero(head)
+                none = pa.nulls(len(new), pa.binary()), pa.nulls(len(head), pa.int64())
+                lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(kept)), pa.int32()), pa.array(place[kept]))
+                names = ["w", "did", "row", "at", "start", "end"]
+                yield pa.RecordBatch.from_arrays([cells.take(pa.array(kept[head])), pa.array(did[kept[head]]), pa.array(row[kept[head]]), lists, none[1], none[1]], names=names)
+                yield pa.RecordBatch.from_arrays([none[0], pa.array(did[gone[new]]), pa.array(row[gone[new]]), pa.nulls(len(new), lists.type), pa.array(place[gone[new]]), pa.array(place[gone[last]] + window)], names=names)
 
     return cut
 
@@ -337,28 +364,36 @@ def repeated_spans(table: DataFrame, runs: DataFrame, symbols: Symbols, compare:
     of the same did.
     """
     some = with_lists(table, runs, "runs", "first", "n", "anchor", "crowded", how="inner").select("did", "row", "text", "runs")
-    segments = some.mapInArrow(_segments(symbols, window), SEGMENTS)
+    crowd = written(some.mapInArrow(_segments(symbols, window, True, across), SEGMENTS), "crowds")
+    whole = [F.col("first").alias("start"), (F.col("first") + F.col("n") + (window - 1)).alias("end")]
+    spans = [crowd.filter("segment IS NULL").select("did", "row", *whole)]
+    crowd_left = crowd.filter("segment IS NOT NULL")
+    heavy = written(crowd_left.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > CROWD).drop("times"), "heavy_anchors")
+    light = some.mapInArrow(_segments(symbols, window, False, across), SEGMENTS).union(crowd_left.join(heavy, "anchor", "left_anti"))
 
     def compared(batches):
         for t in _whole_anchors(batches):
             yield compare(t)
             release()
 
-    found = segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compared, SPANS)
-    crowd = written(some.mapInArrow(_windows(symbols, window, across), WINDOWS), "crowds")
-    first = F.min("did") if across else F.min(F.struct("did", F.element_at("at", 1).alias("at")))
-    firsts = crowd.filter("NOT later").groupBy("w").agg(first.alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
-    firsts = written(firsts, "crowd_firsts")
-    told = crowd.filter("NOT later").join(firsts, "w")
-    if across:
-        told = told.filter(F.col("did") > F.col("first"))
-    else:
-        told = told.filter((F.col("did") > F.col("first.did")) | ((F.col("did") == F.col("first.did")) & (F.element_at("at", 1) > F.col("first.at"))))
-    hit = told.select("did", "row", "at").union(crowd.filter("later").select("did", "row", "at"))
-    hit = hit.select("did", "row", F.explode("at").alias("start")).withColumn("end", F.col("start") + window)
-    spans = written(found.union(hit), "spans", batch=4000)
-    discard(crowd, firsts)
-    return spans
+    spans.append(light.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compared, SPANS))
+    unused = [crowd, heavy]
+    if heavy.limit(1).count():
+        windows = written(crowd_left.join(heavy, "anchor", "left_semi").mapInArrow(_windows(symbols, window, across), WINDOWS), "windows", batch=4000)
+        spans.append(windows.filter("w IS NULL").select("did", "row", "start", "end"))
+        seen = windows.filter("w IS NOT NULL")
+        first = F.min("did") if across else F.min(F.struct("did", F.element_at("at", 1).alias("at")))
+        firsts = written(seen.groupBy("w").agg(first.alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times"), "window_firsts")
+        told, at = seen.join(firsts, "w"), F.element_at("at", 1)
+        if across:
+            told = told.filter(F.col("did") > F.col("first"))
+        else:
+            told = told.filter((F.col("did") > F.col("first.did")) | ((F.col("did") == F.col("first.did")) & (at > F.col("first.at"))))
+        spans.append(told.select("did", "row", F.explode("at").alias("start")).withColumn("end", F.col("start") + window))
+        unused += [windows, firsts]
+    found = written(reduce(DataFrame.union, spans), "spans", batch=4000)
+    discard(*unused)
+    return found
 
 
 def in_steps(batches, rows: int = 250):

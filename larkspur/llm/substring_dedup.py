@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.anchors import in_steps, keyed, least_grams, merged, repeated_spans, settled, shared_runs, with_lists
+from larkspur.llm.anchors import flat, in_steps, keyed, least_grams, merged, repeated_spans, settled, shared_runs, with_lists
 from larkspur.llm.arrays import Prefix, portions, word_prefix, words
 from larkspur.llm.common import discard, documents, let, plain_words, written
 
@@ -54,9 +54,8 @@ def _symbols(data, offsets):
 
 def word_numbers(segments: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Each word of the segments as a number, equal for equal words, and the offsets of the segments."""
-    at = np.frombuffer(segments.buffers()[1], np.int32)[segments.offset :][: len(segments) + 1].astype(np.int64)
-    data = np.frombuffer(segments.buffers()[2], np.uint8)[at[0] : at[-1]]
-    starts, ends, by_segment = words(data, at - at[0])
+    data, offsets = flat(segments)
+    starts, ends, by_segment = words(data, offsets)
     bare = data[np.repeat(starts - (np.cumsum(ends - starts) - (ends - starts)), ends - starts) + np.arange(int((ends - starts).sum()))]
     offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int32)
     column = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(bare.tobytes())])

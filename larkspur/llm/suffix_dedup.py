@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.anchors import in_steps, keyed, least_grams, merged, repeated_spans, settled, shared_runs, with_lists
+from larkspur.llm.anchors import flat, in_steps, keyed, least_grams, merged, repeated_spans, settled, shared_runs, with_lists
 from larkspur.llm.arrays import Prefix
 from larkspur.llm.common import discard, documents, written
 
@@ -90,9 +90,7 @@ def _compare(window: int):
         _, group, several = np.unique(anchor[lead], return_inverse=True, return_counts=True)
         use = np.flatnonzero(several[group] > 1)
         if len(use):
-            segments = cells.dictionary.take(pa.array(use))
-            ends = np.frombuffer(segments.buffers()[1], np.int32)[segments.offset :][: len(use) + 1].astype(np.int64)
-            data = np.frombuffer(segments.buffers()[2], np.uint8)
+            data, ends = flat(cells.dictionary.take(pa.array(use)))
             count = n[lead[use]]
             of = np.repeat(np.arange(len(use)), count)
             inside = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from larkspur.llm import exact_dedup, jaccard_join, line_dedup, mixing, packing, quality_rules, substring_dedup, suffix_dedup, token_files, toxicity
+from larkspur.llm import anchors, exact_dedup, jaccard_join, line_dedup, mixing, packing, quality_rules, substring_dedup, suffix_dedup, token_files, toxicity
 from larkspur.llm.common import new_path
 from larkspur.llm.tokens import encoder
 
@@ -219,6 +219,27 @@ def test_suffix_and_substring_dedup_of_crowds(make):
     assert by_id(jaccard_join.jaccard_components(make(rows).coalesce(1), shingle=4, percent=85), "n_shingles", "component_id") == brute.jaccard(rows)
 
 
+@pytest.mark.parametrize("most", [0, 3])
+def test_suffix_and_substring_dedup_window_by_window(make, monkeypatch, most):
+    """Anchors with more segments than one task compares."""
+    monkeypatch.setattr(anchors, "CROWD", most)
+    monkeypatch.setattr(anchors, "MANY", 2)
+    for w in (50, 12):
+        got = by_id(suffix_dedup.suffix_dedup(make(ROWS), window=w), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        assert got == brute.byte_repeats(PAIRS, w)
+    for w in (20, 4):
+        got = by_id(substring_dedup.substring_dedup(make(ROWS), window=w), "n_words", "n_removed", "kept_sha256")
+        assert got == brute.substring(PAIRS, w)
+
+
+def test_long_periodic_texts(make):
+    rows = [(1, "ab " * 7000), (2, "x" * 30_000 + " y"), (3, "z " + "x" * 9000), (4, "ab " * 6000 + "end"), (5, "q " * 15_000)]
+    got = by_id(suffix_dedup.suffix_dedup(make(rows)), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute.byte_repeats(rows)
+    got = by_id(substring_dedup.substring_dedup(make(rows)), "n_words", "n_removed", "kept_sha256")
+    assert got == brute.substring(rows)
+
+
 def test_packing(make):
     enc = encoder("byte_bpe_50k.json").library
     ids = {d: [*enc.encode(t or "", add_special_tokens=False).ids, 1] for d, t in PAIRS}
