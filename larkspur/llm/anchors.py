@@ -88,7 +88,13 @@ def least_grams(grams: np.ndarray, offsets: np.ndarray, window: int, gram: int,
     return least[starts], doc[starts], at[starts] - offsets[:-1][doc[starts]], sizes
 
 
-def _flush(did, row, anchor, first, n, buckets):
+def _bucket(hashes: np.ndarray, buckets: int, least_of: int) -> np.ndarray:
+    """Buckets of about equal size, in the order of the hashes, which are the least of ``least_of`` even ones: neighbours compress well."""
+    even = -np.expm1(least_of * np.log1p(-(hashes >> U(11)).astype(np.float64) / (1 << 53)))
+    return np.minimum((even * buckets).astype(np.int64), buckets - 1)
+
+
+def _flush(did, row, anchor, first, n, buckets, least_of):
     order = np.argsort(anchor, kind="stable")
     did, row, anchor, first, n = (c[order] for c in (did, row, anchor, first, n))
     new = np.ones(len(anchor), bool)
@@ -98,10 +104,11 @@ def _flush(did, row, anchor, first, n, buckets):
     nth = np.arange(len(anchor)) - np.repeat(start, size)
     often = np.repeat(size > MANY, size)
     kind = np.where(often, np.where(nth < MANY, HERALD, KNOWN), PLACE).astype(np.uint8)
-    by = mix(np.where(kind == KNOWN, did.astype(U) ^ (first.astype(U) << U(20)), anchor))  # least hashes are small, so mixed again
-    bucket = ((by >> U(32)) * U(buckets)) >> U(32)
+    bucket = _bucket(anchor, buckets, least_of)
+    known = np.flatnonzero(kind == KNOWN)
+    bucket[known] = _bucket(mix(did[known].astype(U) ^ (first[known].astype(U) << U(20))), buckets, 1)
     order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U))
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(cuts)).tolist():
         rows = order[cuts[b] : cuts[b + 1]]
         _, of, at = np.unique(row[rows] ^ did[rows].astype(np.int64), return_index=True, return_inverse=True)
@@ -109,8 +116,8 @@ def _flush(did, row, anchor, first, n, buckets):
         yield b, packed([anchor[rows], at, first[rows].astype(np.uint32), n[rows].astype(np.uint32), kind[rows]]), packed([did[rows][of], row[rows][of]])
 
 
-def _deal(rows, buckets):
-    found = list(_flush(*(np.concatenate(c) for c in zip(*rows, strict=True)), buckets))
+def _deal(rows, buckets, least_of):
+    found = list(_flush(*(np.concatenate(c) for c in zip(*rows, strict=True)), buckets, least_of))
     for i in range(0, len(found), 64):
         b, blob, ids = zip(*found[i : i + 64], strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(blob, pa.binary()), pa.array(ids, pa.binary())], names=["bucket", "blob", "ids"])
@@ -148,10 +155,11 @@ def _judge(blobs: list[tuple[bytes, bytes]], across: bool):
         )
 
 
-def shared_runs(docs: DataFrame, finder: Finder, *, symbols: int, across: bool) -> DataFrame:
+def shared_runs(docs: DataFrame, finder: Finder, *, symbols: int, across: bool, least_of: int = 1) -> DataFrame:
     """docs: did, row, text. -> the runs of windows whose anchor occurs elsewhere (``across``: in another did): RUNS.
 
     symbols: about how many anchors there are, which sets the number of buckets (some 250,000 each).
+    least_of: of how many hashes an anchor is the least, which sets their borders.
     """
     buckets = max(64, symbols // 250_000)
 
@@ -164,11 +172,11 @@ def shared_runs(docs: DataFrame, finder: Finder, *, symbols: int, across: bool)
                 rows.append((ids[i + doc], prints[i + doc], anchor, first, n))
                 held += len(anchor)
                 if held >= CHUNK:
-                    yield from _deal(rows, buckets)
+                    yield from _deal(rows, buckets, least_of)
                     rows, held = [], 0
                     release()
         if held:
-            yield from _deal(rows, buckets)
+            yield from _deal(rows, buckets, least_of)
         rows = []
         release()
 
@@ -260,7 +268,7 @@ def _earlier(code: np.ndarray, did: np.ndarray, place: np.ndarray, across: bool)
 
 
 def _segments(symbols: Symbols, window: int, crowded: bool, across: bool):
-    """did, row, text, runs -> SEGMENTS of the runs that are (not) crowded; of crowded ones the segment is null if the same one comes earlier in the portion."""
+    """did, row, text, runs -> SEGMENTS; of ``crowded`` runs the segment is null if the same one comes earlier in the portion."""
 
     def cut(batches):
         for b in batches:
@@ -268,12 +276,9 @@ def _segments(symbols: Symbols, window: int, crowded: bool, across: bool):
             for i, data, offsets in portions(b.column(2)):
                 part = lists.slice(i, len(offsets) - 1)
                 ends = part.offsets.to_numpy()
-                flat = part.values.slice(ends[0], ends[-1] - ends[0])
-                use = np.flatnonzero(flat.field(3).to_numpy(zero_copy_only=False) == crowded)
-                if not len(use):
-                    continue
-                first, n, anchor = (flat.field(k).to_numpy()[use].astype(np.int64) for k in (0, 1, 2))
-                doc = np.repeat(np.arange(len(offsets) - 1), np.diff(ends))[use]
+                runs = part.values.slice(ends[0], ends[-1] - ends[0])
+                first, n, anchor = (runs.field(k).to_numpy().astype(np.int64) for k in (0, 1, 2))
+                doc = np.repeat(np.arange(len(offsets) - 1), np.diff(ends))
                 data, starts, stops, by_doc = symbols(data, offsets)
                 at = by_doc[:-1][doc] + first
                 if crowded:  # places of a segment stay together
@@ -363,13 +368,17 @@ def repeated_spans(table: DataFrame, runs: DataFrame, symbols: Symbols, compare:
     compare: all segments of some anchors (SEGMENTS) -> SPANS. across: only what a smaller did has is earlier; else also an earlier place
     of the same did.
     """
-    some = with_lists(table, runs, "runs", "first", "n", "anchor", "crowded", how="inner").select("did", "row", "text", "runs")
-    crowd = written(some.mapInArrow(_segments(symbols, window, True, across), SEGMENTS), "crowds")
+
+    def segments(crowded: bool) -> DataFrame:
+        some = with_lists(table, runs.filter("crowded" if crowded else "NOT crowded"), "runs", "first", "n", "anchor", how="inner")
+        return some.select("did", "row", "text", "runs").mapInArrow(_segments(symbols, window, crowded, across), SEGMENTS)
+
+    crowd = written(segments(True), "crowds")
     whole = [F.col("first").alias("start"), (F.col("first") + F.col("n") + (window - 1)).alias("end")]
     spans = [crowd.filter("segment IS NULL").select("did", "row", *whole)]
     crowd_left = crowd.filter("segment IS NOT NULL")
     heavy = written(crowd_left.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > CROWD).drop("times"), "heavy_anchors")
-    light = some.mapInArrow(_segments(symbols, window, False, across), SEGMENTS).union(crowd_left.join(heavy, "anchor", "left_anti"))
+    light = segments(False).union(crowd_left.join(heavy, "anchor", "left_anti"))
 
     def compared(batches):
         for t in _whole_anchors(batches):

@@ -49,8 +49,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-#: rows of a record batch, for what of a write runs in Python; and: shuffle files of a finished write are of no more use.
-_WRITING = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: While a table is written: texts are large, so few are read at once; and shuffle files of a finished write are of no more use.
+_WRITING = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 @contextmanager

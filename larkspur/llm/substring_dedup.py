@@ -146,7 +146,7 @@ def substring_dedup(docs: DataFrame, *, window: int = 20) -> DataFrame:
     plain = plain_words(F.col("text"))
     told = let(plain, lambda t: F.struct(F.when(t == "", 0).otherwise(F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("long").alias("n"), F.sha2(t, 256).alias("sha")))
     table = settled(base, size, told.alias("told"))
-    runs = written(shared_runs(table.filter("NOT copy"), _places(window, gram), symbols=size // 40, across=False), "runs")
+    runs = written(shared_runs(table.filter("NOT copy"), _places(window, gram), symbols=size // 40, across=False, least_of=window - gram + 1), "runs")
     spans = repeated_spans(table, runs, _symbols, _compare(window), window=window, across=False)
     discard(runs)
 

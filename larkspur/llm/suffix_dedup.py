@@ -121,7 +121,7 @@ def suffix_dedup(docs: DataFrame, *, window: int = 50) -> DataFrame:
     base = keyed(docs)
     size = base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     table = settled(base, size, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole_sha"))
-    runs = written(shared_runs(table.filter("NOT copy"), _places(window, gram), symbols=size // 14, across=True), "runs")
+    runs = written(shared_runs(table.filter("NOT copy"), _places(window, gram), symbols=size // 14, across=True, least_of=window - gram + 1), "runs")
     spans = repeated_spans(table, runs, _symbols, _compare(window), window=window, across=True)
     discard(runs)
 
