@@ -1,4 +1,4 @@
-"""The operators, DataFrame in and DataFrame out. Nothing runs here; Catalyst sees one plan.
+"""The operators, DataFrame in and DataFrame out. Nothing runs here (but the count of a side that may be broadcast); Catalyst sees one plan.
 
 Expressions are trees or prefix text. An output schema, where given, fixes names and types; else columns are called
 as their attribute, or by their prefix text.
@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from larkspur.functions.expressions import TRUE, Attribute, Expr, as_expr, attributes, compile_expr, predicate
+from larkspur.functions.expressions import TRUE, Attribute, Expr, as_expr, compile_expr, predicate
 from larkspur.functions.types import DOUBLE, INT, LONG, EngineError, Schema, Type, TypeMismatch, coerce, types_of
 
 AGGREGATES = ("cnt", "sum", "avg")
@@ -66,8 +66,14 @@ def range_selection(
 _HINTS = {"hash": "shuffle_hash", "merge": "merge", "auto": None}
 
 
+#: Bytes that a side may have, by the plan's statistics, to be broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
 def _small(df: DataFrame, most: int) -> bool:
-    return df.limit(most + 1).count() <= most
+    """By the plan's estimate, which sees wide rows but no filters, and by a count of rows."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size <= BROADCAST_BYTES and df.limit(most + 1).count() <= most
 
 
 def _join(left, right, keys, where, projections, schema, left_where, right_where, strategy, max_broadcast_rows) -> DataFrame:
@@ -100,11 +106,12 @@ def _join(left, right, keys, where, projections, schema, left_where, right_where
 
 def hash_join(
     left: DataFrame, right: DataFrame, keys: Sequence[tuple[Expr | str, Expr | str]], where: Expr | str = TRUE, projections=None, schema: Schema | None = None, *,
-    left_where: Expr | str = TRUE, right_where: Expr | str = TRUE, strategy: str = "hash", max_broadcast_rows: int = 100_000,
+    left_where: Expr | str = TRUE, right_where: Expr | str = TRUE, strategy: str = "auto", max_broadcast_rows: int = 100_000,
 ) -> DataFrame:
-    """Inner equi-join on any number of key pairs (expressions of either side); the left side is the one hashed.
+    """Inner equi-join on any number of key pairs (expressions of either side).
 
-    strategy: hash, broadcast (if the left side has at most ``max_broadcast_rows`` rows, else hash) or auto (Spark's choice by size).
+    strategy: auto (Spark's choice by size), hash (the left side is the one hashed; a partition of it must fit in memory) or broadcast (if the
+    left side has at most ``max_broadcast_rows`` rows and ``BROADCAST_BYTES`` bytes, else hash).
     """
     if strategy not in ("hash", "broadcast", "auto"):
         raise EngineError(f"no strategy {strategy!r}")
@@ -166,11 +173,16 @@ def merge_sorted(left: DataFrame, right: DataFrame, key: Expr | str) -> DataFram
     return sort(left.unionByName(right), key)
 
 
+def union_scan(tables: Sequence[DataFrame], where: Expr | str = TRUE, projections: Sequence[Expr | str] | None = None, schema: Schema | None = None) -> DataFrame:
+    """Selection over the rows of several tables of one schema; filters and columns reach each scan."""
+    if not tables:
+        raise EngineError("a scan needs tables")
+    whole = tables[0]
+    for other in tables[1:]:
+        whole = whole.unionByName(other)
+    return selection(whole, where, projections, schema)
+
+
 def sort_partitions(df: DataFrame, key: Expr | str) -> DataFrame:
     """Each partition by itself in the order of the key."""
     return df.sortWithinPartitions(compile_expr(key, types_of(df))[0].asc())
-
-
-def needed(*expressions: Expr | str) -> set[str]:
-    """The columns some expressions read."""
-    return set().union(*(attributes(as_expr(e)) for e in expressions))

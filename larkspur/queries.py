@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -9,11 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions.expressions import hashed
-from larkspur.functions.types import schema, types_of
+from larkspur.functions.expressions import compile_expr, hashed
+from larkspur.functions.types import schema, text, types_of
 from larkspur.operators import aggregate, hash_join, merge_sorted, range_selection, selection, sort, sort_merge_join, sort_partitions
 from larkspur.session import Session
-from larkspur.sources.tables import statistics
+from larkspur.sources.tables import EXACT, statistics
 from larkspur.sources.text import read_text, write_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,7 +44,11 @@ def sql(spark: SparkSession, sf_dir: str, source: str, names) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="larkspur-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="larkspur-")
     return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 
@@ -135,10 +140,17 @@ def coerce_output(spark, d):
     return selection(t(spark, d, "supplier"), projections=["[s_suppkey]", "[s_acctbal]", "[s_acctbal]", "> ([s_acctbal], int[0])"], schema=schema(("k", "double"), ("whole", "int"), ("shown", "string"), ("flag", "string")))
 
 
-@query("SELECT CAST(count(DISTINCT c_mktsegment) AS BIGINT) AS n FROM customer")
+@query("""SELECT 'int' AS kind, c_nationkey::VARCHAR AS v, count(*) AS n FROM customer GROUP BY ALL UNION ALL SELECT 'double', printf('%.6f', c_acctbal), count(*) FROM customer GROUP BY ALL
+UNION ALL SELECT 'string', c_mktsegment, count(*) FROM customer GROUP BY ALL UNION ALL SELECT 'bool', CASE WHEN c_acctbal > 0 THEN 'true' ELSE 'false' END, count(*) FROM customer GROUP BY ALL""")
 def hash_values(spark, d):
-    c = t(spark, d, "customer")
-    return c.select(hashed("[c_mktsegment]", types_of(c)).alias("h")).distinct().agg(F.count(F.lit(1)).alias("n"))
+    """Values grouped by their hash, of all four types: as many groups, and as large, as by value."""
+    c, found = t(spark, d, "customer"), None
+    for kind, e in (("int", "[c_nationkey]"), ("double", "[c_acctbal]"), ("string", "[c_mktsegment]"), ("bool", "> ([c_acctbal], int[0])")):
+        both = c.select(hashed(e, types_of(c)).alias("h"), compile_expr(e, types_of(c))[0].alias("raw"))
+        shown = text(F.col("raw"), compile_expr(e, types_of(c))[1])
+        groups = both.groupBy("h").agg(F.min(shown).alias("v"), F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "v", "n")
+        found = groups if found is None else found.union(groups)
+    return found
 
 
 # Key ranges
@@ -326,7 +338,7 @@ def create_ordered_load(spark, d):
     return _stored(spark, d, " AS BPLUSTREE ON n_name").table("n")
 
 
-@query()
+@query("SELECT CAST(1 AS INTEGER) AS a, CAST(1 AS DOUBLE) AS b, 'x' AS c, true AS d WHERE false")
 def create_table_empty(spark, d):
     s = Session(spark, scratch(spark))
     s.sql("create table e (a INT, b DOUBLE, c STRING, d BOOL)")
@@ -338,10 +350,14 @@ def stats_tuple_count(spark, d):
     return spark.createDataFrame([(statistics(t(spark, d, "orders"))[0],)], "tuple_count long")
 
 
-@query()
+@query("SELECT 'c_nationkey' AS \"column\", count(DISTINCT c_nationkey) AS distinct_count, true AS near FROM customer UNION ALL SELECT 'c_mktsegment', count(DISTINCT c_mktsegment), true FROM customer UNION ALL SELECT 'c_custkey', CASE WHEN count(DISTINCT c_custkey) <= 1000 THEN count(DISTINCT c_custkey) END, true FROM customer")
 def stats_distinct(spark, d):
-    _, counts = statistics(t(spark, d, "orders"))
-    return spark.createDataFrame(list(counts.items()), "column string, distinct_count long")
+    """Counts up to 1000 are exact; others are left out here, but told to be within 15 % (three times the error that is aimed at)."""
+    c = t(spark, d, "customer").select("c_nationkey", "c_mktsegment", "c_custkey")
+    _, counts = statistics(c)
+    true = c.agg(*[F.count_distinct(x).alias(x) for x in c.columns]).first()
+    rows = [(x, n if true[x] <= EXACT else None, abs(n - true[x]) <= 0.15 * true[x]) for x, n in counts.items()]
+    return spark.createDataFrame(rows, "column string, distinct_count long, near boolean")
 
 
 # SQL

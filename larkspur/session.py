@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.functions.types import EngineError
+from larkspur.operators.relational import union_scan
 from larkspur.plans.parser import CreateTable, parse
 from larkspur.plans.planner import plan
 from larkspur.sources.catalog import Catalog, TableInfo
-from larkspur.sources.tables import append, scan, statistics, store
+from larkspur.sources.tables import append, compact, layout, scan, statistics, store
 from larkspur.sources.text import read_text, write_text
 
 
@@ -19,13 +20,17 @@ class Session:
 
     def __init__(self, spark: SparkSession, directory: str | None = None, catalog: str | None = None):
         self.spark, self.directory = spark, directory
-        self.catalog = Catalog.open(catalog) if catalog else Catalog("")
+        self.catalog = Catalog.open(catalog, spark) if catalog else Catalog("")
         self.frames: dict[str, DataFrame] = {}
 
     def register(self, name: str, df: DataFrame) -> None:
         """Makes a DataFrame known to SQL, for this session."""
         self.frames[name] = df
 
+    def tables(self, names: Sequence[str]) -> DataFrame:
+        """The rows of several tables of one schema, one table after the other."""
+        return union_scan([self.table(n) for n in names])
+
     def table(self, name: str) -> DataFrame:
         return self.frames[name] if name in self.frames else scan(self.spark, self.catalog.table(name))
 
@@ -61,6 +66,13 @@ class Session:
         self._count(table)
         return table.tuple_count
 
+    def compact(self, name: str) -> None:
+        """One order of all rows, after appends to an ordered table."""
+        compact(self.spark, self.catalog.table(name))
+
+    def layout(self, name: str) -> DataFrame:
+        return layout(self.spark, self.catalog.table(name))
+
     def dump(self, name: str, path: str) -> None:
         write_text(self.table(name), path)
 

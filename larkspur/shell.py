@@ -13,7 +13,7 @@ PROMPT, MORE = "larkspur> ", "        > "
 
 
 def run(session: Session, source: TextIO = sys.stdin, out: TextIO = sys.stdout, rows: int = 100) -> None:
-    """Reads statements until EXIT, QUIT or the end: SELECT (shows up to ``rows`` rows), CREATE TABLE, LOAD t FROM file."""
+    """Reads statements until EXIT, QUIT or the end: SELECT (shows up to ``rows`` rows), CREATE TABLE, LOAD t FROM file, COMPACT t."""
     held = ""
     print(PROMPT, end="", file=out, flush=True)
     for line in source:
@@ -28,6 +28,9 @@ def run(session: Session, source: TextIO = sys.stdin, out: TextIO = sys.stdout,
                 break
             if len(words) == 4 and words[0].lower() == "load" and words[2].lower() == "from":
                 print(f"{session.load(words[1], words[3])} rows loaded", file=out)
+            elif len(words) == 2 and words[0].lower() == "compact":
+                session.compact(words[1])
+                print("table compacted", file=out)
             elif (df := session.sql(statement)) is None:
                 print("table created", file=out)
             else:

@@ -6,6 +6,8 @@ import json
 import os
 from dataclasses import asdict, dataclass, field
 
+from pyspark.sql import SparkSession
+
 from larkspur.functions.types import NAMES, EngineError, Schema
 
 
@@ -35,21 +37,56 @@ class Catalog:
     entries: dict = field(default_factory=dict)
     tables: dict[str, TableInfo] = field(default_factory=dict)
 
+    spark: SparkSession | None = field(default=None, repr=False, compare=False)
+
     @classmethod
-    def open(cls, path: str) -> Catalog:
-        found = cls(path)
-        if os.path.exists(path):
-            with open(path, encoding="utf-8") as f:
-                held = json.load(f)
+    def open(cls, path: str, spark: SparkSession | None = None) -> Catalog:
+        """path: of this machine or, with a session, of any file system it knows (scheme://...)."""
+        found = cls(path, spark=spark if "://" in path else None)
+        held = found._read()
+        if held is not None:
+            held = json.loads(held)
             found.entries = held["entries"]
             found.tables = {n: TableInfo(**{**t, "columns": [tuple(c) for c in t["columns"]]}) for n, t in held["tables"].items()}
         return found
 
+    def _remote(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _read(self) -> str | None:
+        if self.spark is None:
+            if not os.path.exists(self.path):
+                return None
+            with open(self.path, encoding="utf-8") as f:
+                return f.read()
+        at, fs = self._remote(self.path)
+        if not fs.exists(at):  # a save cut short leaves the new file
+            at, _ = self._remote(f"{self.path}.new")
+            if not fs.exists(at):
+                return None
+        stream = fs.open(at)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
     def save(self) -> None:
         """All at once: a reader sees the old file or the new."""
-        with open(f"{self.path}.new", "w", encoding="utf-8") as f:
-            json.dump({"entries": self.entries, "tables": {n: asdict(t) for n, t in self.tables.items()}}, f, indent=1)
-        os.replace(f"{self.path}.new", self.path)
+        text = json.dumps({"entries": self.entries, "tables": {n: asdict(t) for n, t in self.tables.items()}}, indent=1)
+        if self.spark is None:
+            with open(f"{self.path}.new", "w", encoding="utf-8") as f:
+                f.write(text)
+            os.replace(f"{self.path}.new", self.path)
+            return
+        (at, fs), (new, _) = self._remote(self.path), self._remote(f"{self.path}.new")
+        stream = fs.create(new, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        fs.delete(at, False)
+        fs.rename(new, at)
 
     def put(self, key: str, value: str | int | list[str]) -> None:
         self.entries[key] = value
