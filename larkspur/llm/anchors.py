@@ -33,7 +33,7 @@ from larkspur.llm.common import discard, written, written_in_buckets
 MANY = 32
 CHUNK = 1 << 18
 #: Places of one anchor from which its segments collapse in a portion, and segments beyond which they aren't compared within a task.
-CROWD = 20_000
+CROWD = 4000
 PLACE, HERALD, KNOWN = 0, 1, 2
 RUNS = "did long, row long, anchor long, first int, n int, crowded boolean"
 #: Windows of a run at most; longer ones (periodic texts) are cut.
