@@ -396,3 +396,37 @@ def test_line_keys_tell_apart_what_differs_in_more_than_a_to_z(spark):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rows = spark.createDataFrame([(x, x.translate(low)) for x in lines], "line string, want string").select(line_dedup.line_key(F.col("line")).alias("k"), "want").distinct().collect()
     assert len({x["k"] for x in rows}) == len({x["want"] for x in rows}) == len(rows)
+
+
+def test_rows_that_share_an_id_or_repeat(make):
+    """Values for repeated rows, null ids and several texts of one id."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(r.randint(2, 7)))
+    a, b, c = (" ".join(word() for _ in range(70)) for _ in range(3))
+    rows = [(4, a), (4, a), (4, c + " " + a[:200]), (4, b), (2, b[40:300] + " end"), (9, a + " " + b), (9, b + " " + a), (None, c[30:260]), (None, c[30:260]), (None, "x " + c[30:200])]
+    low = lambda d: -1 if d is None else d
+    want_bytes, want_words = [], []
+    for d, t in rows:
+        raw = t.encode()
+        gone = {k for i in range(len(raw) - 49) if any(low(e) < low(d) and raw[i : i + 50] in u.encode() for e, u in rows) for k in range(i, i + 50)}
+        want_bytes.append((d, len(raw), len(gone), brute.sha(bytes(x for i, x in enumerate(raw) if i not in gone))))
+        ws, gone = t.split(), set()
+        for i in range(len(ws) - 19):
+            for e, u in rows:
+                us = u.split()
+                if any((low(e), j) < (low(d), i) and us[j : j + 20] == ws[i : i + 20] for j in range(len(us) - 19)):
+                    gone.update(range(i, i + 20))
+        want_words.append((d, len(ws), len(gone), brute.sha(" ".join(w for i, w in enumerate(ws) if i not in gone))))
+    got = suffix_dedup.suffix_dedup(make(rows)).select("doc_id", "n_bytes", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want_bytes, key=repr)
+    got = substring_dedup.substring_dedup(make(rows)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want_words, key=repr)
+    got = quality_rules.quality_rules(make(rows)).select("doc_id", "n_words", "word_chars").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(((d, *brute.quality(t)[:2]) for d, t in rows), key=repr)
+    lines = [(4, "p\nq\np"), (4, "p\nq\np"), (4, "q\nz"), (None, "z\np"), (7, "Z\nP\nq")]
+    got = line_dedup.line_dedup(make(lines), min_docs=2).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(4, ""), (4, ""), (4, ""), (None, ""), (7, "")], key=repr)
+    got = line_dedup.line_dedup(make(lines), min_docs=2, keep_first=True).select("doc_id", "text").collect()
+    texts = sorted(t for d, t in got if d == 4)
+    assert {t for d, t in got if d is None} == {"z\np"} and [t for d, t in got if d == 7] == [""]
+    assert texts in (["", "q", "q"], ["", "", "q"])  # of two texts of one id the order is by hash
