@@ -72,11 +72,13 @@ def _plan(docs: DataFrame, *, weights, share: float, max_epochs: float, seed: in
 
 
 def _order(seed: int):
-    return F.xxhash64(F.lit(seed), "doc_id", "text")
+    """The first 60 bits of an MD5 over seed, doc_id and text, which SQL has as well."""
+    told = F.concat_ws(" ", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
+    return F.conv(F.substring(F.md5(told), 1, 15), 16, 10).cast("long")
 
 
 def _bucket(bits: int):
-    return F.shiftrightunsigned("h", 64 - bits).cast("int")
+    return F.shiftright("h", 60 - bits).cast("int")
 
 
 def _taken(rows: DataFrame, cuts: DataFrame, ends: DataFrame) -> DataFrame:
@@ -121,4 +123,21 @@ def op3_mixing(spark, sf_dir):
 
 
 QUERIES = {"op3_mixing": op3_mixing}
-ORACLE: dict[str, str] = {}
+#: Shares by the definition: a source is capped if the level of those that are left, in order of cap / weight, is above its own.
+_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size,
+                  CAST('0x' || substr(md5('0 ' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ' ' || coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS nth FROM d GROUP BY source),
+w AS (SELECT *, 2.0::DOUBLE * source_size AS cap, CAST([5, 2, 1][(nth - 1) % 3 + 1] AS DOUBLE) AS weight FROM s),
+r AS (SELECT *, row_number() OVER (ORDER BY cap / weight, nth) AS k FROM w),
+levels AS (SELECT r.k, ((SELECT 1.5::DOUBLE * sum(source_size) FROM r) - coalesce(sum(o.cap) FILTER (o.k < r.k), 0)) / sum(o.weight) FILTER (o.k >= r.k) AS level,
+                  any_value(r.cap) AS cap, any_value(r.weight) AS weight FROM r, r AS o GROUP BY r.k),
+found AS (SELECT level FROM levels WHERE level * weight <= cap ORDER BY k LIMIT 1),
+t AS (SELECT source, source_size, coalesce(least(cap, (SELECT level FROM found) * weight), cap) AS target FROM r),
+n AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END AS whole FROM t),
+o AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(whole * size + greatest(0, least(size, CAST(round(target) AS BIGINT) - whole * source_size - before)) AS BIGINT) AS taken
+FROM o JOIN n ON o.source IS NOT DISTINCT FROM n.source
+"""
+ORACLE = {"op3_mixing": _SQL}
