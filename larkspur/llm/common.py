@@ -80,10 +80,11 @@ def written(df: DataFrame, name: str, batch: int = 1000) -> DataFrame:
 
 
 def written_in_buckets(df: DataFrame, name: str, by: tuple[str, ...], buckets: int) -> DataFrame:
-    """As ``written``, bucketed: joins by these columns leave the table's rows where they are. At least as many buckets as the session has
-    shuffle partitions. The catalog's entry is dropped at once; only the files and the returned DataFrame remain."""
+    """As ``written``, bucketed: joins by these columns leave the table's rows where they are. As many buckets as the session has shuffle
+    partitions, or a multiple: rows that were shuffled by the same columns come from one task a bucket. The catalog's entry is dropped at once; only the files and the returned DataFrame remain."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    buckets = min(max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))), 100_000)
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = shuffled * max(1, min(-(-buckets // shuffled), 100_000 // shuffled))
     entry = f"larkspur_{uuid.uuid4().hex}"
     with _writing(spark, 1000):
         df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, *by).saveAsTable(entry)

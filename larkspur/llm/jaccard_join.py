@@ -254,8 +254,9 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80)
     runs = shared_runs(base, _prefixes(shingle, percent, sketch), symbols=total * (100 - percent) // 100 + 1, across=True)
     runs = written(runs.join(copies, ["did", "row"], "left_anti").select("did", "row", "anchor", "n", F.col("first").alias("place")), "runs")
     # One plan at every size: the texts move once, also where the list of candidates would be small enough to broadcast.
-    some = runs.select("did", "row").distinct().hint("shuffle_hash")
-    texts = base.join(some, ["did", "row"], "left_semi").select("did", "text")
+    # They are dealt by the key of the buckets, so that a task writes whole buckets and not a file in each.
+    some = runs.select("did").distinct().hint("shuffle_hash")
+    texts = base.join(some, "did", "left_semi").select("did", "text")
     texts = written_in_buckets(texts, "texts", ("did",), base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] >> 24 if told[1] else 1)
     shared = runs.drop("row")
     # Documents with many shared shingles in their prefix are the middle of a group: good pivots.
