@@ -70,7 +70,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: The scores, the sampling hash and the token ids are outside SQL; tests compare with brute force.
+#: The scores and the token ids are outside SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
