@@ -189,12 +189,22 @@ class Trie:
         return found
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, *, shingle: int, percent: int, sketch, chunk: int = 64) -> DataFrame:
-    """pairs (a, b) -> those that are similar. A pivot a with many b is dealt out in chunks. texts: bucketed by did; the pairs move to them."""
-    chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
-    pivots = chunks.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("a").alias("b"))
+def similar_pairs(pairs: DataFrame, texts: DataFrame, *, shingle: int, percent: int, sketch, chunk: int = 64) -> tuple[DataFrame, list[DataFrame]]:
+    """pairs (a, b) -> those that are similar, either way round, and the tables to discard when that is written. texts: bucketed by did; the pairs move to them.
+
+    Of a pair the document of more pairs is searched for, in chunks of the tries of the others, so a document that meets many isn't read
+    once for each: among P pairs none is held in more than sqrt(2 P) tries.
+    """
+    degrees = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    degrees = written(degrees, "pair_degrees")  # so that a frequent document's rows can be split in the joins
+    of_a, of_b = (degrees.select(F.col("node").alias(f"{x}_node"), F.col("degree").alias(f"{x}_degree")) for x in "ab")
+    both = pairs.join(of_a, F.col("a") == F.col("a_node")).join(of_b, F.col("b") == F.col("b_node"))
+    turned = (F.col("b_degree") > F.col("a_degree")) | ((F.col("b_degree") == F.col("a_degree")) & (F.col("b") < F.col("a")))
+    chunks = F.ceil(F.greatest("a_degree", "b_degree") / chunk).cast("int").alias("chunks")
+    turned = both.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"), chunks)
     part = F.pmod(F.xxhash64("b"), F.col("chunks").cast("long")).cast("int")
-    asked = pivots.union(pairs.join(chunks, "a").select("a", part.alias("part"), F.lit(1).alias("kind"), "b"))
+    held = written(turned.select("a", part.alias("part"), F.lit(1).alias("kind"), "b"), "asked")
+    asked = held.union(held.select("a", "part", F.lit(0).alias("kind"), F.col("a").alias("b")).distinct())
     rows = texts.join(asked.hint("shuffle_hash"), F.col("b") == F.col("did")).select("a", "part", "kind", "b", "text")
 
     def sets(texts_):
@@ -231,7 +241,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, *, shingle: int, percent:
         if key is not None:
             yield close()
 
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "kind").mapInArrow(compare, "a long, b long")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "kind").mapInArrow(compare, "a long, b long"), [degrees, held]
 
 
 def jaccard_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -282,8 +292,9 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80)
         follow = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
         enough = (100 + percent) * follow >= percent * (F.col("a.n") + F.col("b.n"))
         pairs = written(a.join(b, apart & sizes_fit & enough).select(F.col("a.did").alias("a"), F.col("b.did").alias("b")).distinct(), "pairs")
-        links.append(written(similar_pairs(pairs, texts, shingle=shingle, percent=percent, sketch=sketch), "links"))
-        discard(pairs)
+        found, unused = similar_pairs(pairs, texts, shingle=shingle, percent=percent, sketch=sketch)
+        links.append(written(found, "links"))
+        discard(pairs, *unused)
         edges = links[0]
         for x in links[1:]:
             edges = edges.union(x)
