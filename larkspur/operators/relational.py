@@ -1,4 +1,5 @@
-"""The operators, DataFrame in and DataFrame out. Nothing runs here (but the count of a side that may be broadcast); Catalyst sees one plan.
+"""The operators, DataFrame in and DataFrame out. Nothing runs here (but the count of a side that may be broadcast, and of pairs for
+``strategy="many"``); Catalyst sees one plan.
 
 Expressions are trees or prefix text. An output schema, where given, fixes names and types; else columns are called
 as their attribute, or by their prefix text.
@@ -10,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from larkspur.functions.expressions import TRUE, Attribute, Expr, as_expr, compile_expr, predicate
 from larkspur.functions.types import DOUBLE, INT, LONG, EngineError, Schema, Type, TypeMismatch, coerce, types_of
@@ -63,17 +65,68 @@ def range_selection(
     return selection(found, where, projections, schema)
 
 
-_HINTS = {"hash": "shuffle_hash", "merge": "merge", "auto": None}
+_HINTS = {"hash": "shuffle_hash", "merge": "merge", "auto": None, "many": None}
 
 
 #: Bytes that a side may have, by the plan's statistics, to be broadcast.
 BROADCAST_BYTES = 64 << 20
 
+#: Pairs of rows that a task makes where a join is dealt out: at least and at most.
+LEAST_PAIRS, MOST_PAIRS = 1 << 20, 1 << 24
+
+
+def _bytes(df: DataFrame) -> int:
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
 
 def _small(df: DataFrame, most: int) -> bool:
     """By the plan's estimate, which sees wide rows but no filters, and by a count of rows."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return size <= BROADCAST_BYTES and df.limit(most + 1).count() <= most
+    return _bytes(df) <= BROADCAST_BYTES and df.limit(most + 1).count() <= most
+
+
+def _dealt(left: DataFrame, right: DataFrame, keys: Sequence[tuple[Column, Column]], condition: Column, max_broadcast_rows: int) -> DataFrame:
+    """The join, dealt out by pairs: a key that makes more than a task's share is split among several tasks. Each row of the larger side goes to
+    one of them, by its place among the sorted rows of its partition, so that a repeated task deals alike and copies part as well; the smaller side
+    is broadcast or, if too large for that, goes to all tasks of its key."""
+    names = [f"#k{k}" for k in range(len(keys))]
+    pairs = None
+    for df, at in ((left, 0), (right, 1)):
+        counts = df.groupBy(*[k[at].alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.count(F.lit(1)).alias(f"#n{at}"))
+        pairs = counts if pairs is None else pairs.join(counts, names)
+    made = F.col("#n0") * F.col("#n1")
+    many = pairs.groupBy(*[F.when(made > LEAST_PAIRS, F.col(n)).alias(n) for n in names]).agg(F.sum(made).alias("#pairs"))
+    found = many.collect()
+    heavy, rest = [r for r in found if r[0] is not None], sum(r["#pairs"] for r in found if r[0] is None)  # all keys of few pairs are one row, of null
+    total = rest + sum(r["#pairs"] for r in heavy)
+    if total <= LEAST_PAIRS:
+        return left.join(right, condition, "inner")
+    spark = left.sparkSession
+    share = min(max(total // (16 * spark.sparkContext.defaultParallelism), LEAST_PAIRS), MOST_PAIRS)
+    tasks = light = max(1, -(-rest // share))
+    split = []
+    for r in heavy:
+        split.append((*r[:-1], tasks, -(-r["#pairs"] // share)))
+        tasks += split[-1][-1]
+    shares = F.broadcast(spark.createDataFrame(split, StructType([*many.schema[:-1]]).add("#first", LongType()).add("#tasks", LongType())))
+
+    at = int(_bytes(left) <= _bytes(right))  # the side that is dealt out
+    one, other = (left, right)[at], (left, right)[1 - at]
+
+    def known(df: DataFrame, at: int) -> DataFrame:
+        return df.join(shares, [k[at] == F.col(n) for k, n in zip(keys, names, strict=True)], "left")
+
+    place = F.col("#first") + F.pmod("#place", "#tasks")
+    one = known(one.sortWithinPartitions(*[k[at] for k in keys], *one.columns).withColumn("#place", F.monotonically_increasing_id()), at)
+    if _small(other, max_broadcast_rows):
+        task = F.coalesce(place, F.pmod(F.xxhash64(*[k[at] for k in keys]), F.lit(light)))
+        one = one.withColumn("#task", task.cast("int")).repartitionById(tasks, F.col("#task"))
+        both = other.hint("broadcast").join(one, condition, "inner")
+    else:
+        one = one.withColumn("#task", F.coalesce(place, F.lit(-1)))
+        every = F.when(F.col("#tasks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.col("#first"), F.col("#first") + F.col("#tasks") - 1))
+        other = known(other, 1 - at).withColumn("#of", F.explode(every)).drop(*names, "#first", "#tasks")
+        both = other.join(one, condition & (F.col("#of") == F.col("#task")), "inner")
+    return both.select(*[f"`{c}`" for c in (*left.columns, *right.columns)])
 
 
 def _join(left, right, keys, where, projections, schema, left_where, right_where, strategy, max_broadcast_rows) -> DataFrame:
@@ -84,7 +137,7 @@ def _join(left, right, keys, where, projections, schema, left_where, right_where
         raise EngineError(f"both sides have columns {sorted(twice)}")
     lt, rt = types_of(left), types_of(right)
     left, right = _filter(left, left_where), _filter(right, right_where)
-    condition = None
+    condition, columns = None, []
     for a, b in keys:
         a, b = as_expr(a), as_expr(b)
         (x, s), (y, t) = compile_expr(a, lt), compile_expr(b, rt)
@@ -94,12 +147,13 @@ def _join(left, right, keys, where, projections, schema, left_where, right_where
         elif s.name != t.name:
             raise TypeMismatch(f"keys {a} and {b} are {s.name} and {t.name}")
         condition = x == y if condition is None else condition & (x == y)
+        columns.append((x, y))
     if strategy == "broadcast":
         # Only a side of checked size is broadcast; larger ones are hashed in their partitions.
         left = left.hint("broadcast") if _small(left, max_broadcast_rows) else left.hint("shuffle_hash")
     elif _HINTS[strategy]:
         left = left.hint(_HINTS[strategy])
-    both = left.join(right, condition, "inner")
+    both = _dealt(left, right, columns, condition, max_broadcast_rows) if strategy == "many" else left.join(right, condition, "inner")
     both = _filter(both, where)
     return both if projections is None and schema is None else _project(both, [Attribute(c) for c in both.columns] if projections is None else projections, schema)
 
@@ -110,10 +164,11 @@ def hash_join(
 ) -> DataFrame:
     """Inner equi-join on any number of key pairs (expressions of either side).
 
-    strategy: auto (Spark's choice by size), hash (the left side is the one hashed; a partition of it must fit in memory) or broadcast (if the
-    left side has at most ``max_broadcast_rows`` rows and ``BROADCAST_BYTES`` bytes, else hash).
+    strategy: auto (Spark's choice by size), hash (the left side is the one hashed; a partition of it must fit in memory), broadcast (if the
+    left side has at most ``max_broadcast_rows`` rows and ``BROADCAST_BYTES`` bytes, else hash) or many (for keys that repeat on both sides: pairs
+    are counted by key, and tasks make about the same number of them).
     """
-    if strategy not in ("hash", "broadcast", "auto"):
+    if strategy not in ("hash", "broadcast", "auto", "many"):
         raise EngineError(f"no strategy {strategy!r}")
     return _join(left, right, keys, where, projections, schema, left_where, right_where, strategy, max_broadcast_rows)
 

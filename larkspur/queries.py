@@ -209,7 +209,7 @@ def broadcast_join(spark, d):
 
 @query("SELECT s_name, c_name FROM supplier JOIN customer ON s_nationkey = c_nationkey")
 def join_many_to_many(spark, d):
-    return hash_join(t(spark, d, "supplier"), t(spark, d, "customer"), [("[s_nationkey]", "[c_nationkey]")], projections=["[s_name]", "[c_name]"], strategy="auto")
+    return hash_join(t(spark, d, "supplier"), t(spark, d, "customer"), [("[s_nationkey]", "[c_nationkey]")], projections=["[s_name]", "[c_name]"], strategy="many")
 
 
 @query("SELECT CAST(s_nationkey AS INTEGER) AS nation, CAST(count(*) AS BIGINT) AS mycnt FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE s_acctbal < 5000 AND c_acctbal > 1000 AND c_acctbal < 8000 GROUP BY s_nationkey")

@@ -1,9 +1,12 @@
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur.functions.types import EngineError, TypeMismatch, schema
-from larkspur.operators import aggregate, hash_join, range_selection, selection, sort, sort_merge_join, sorted_rows
+from larkspur.operators import aggregate, hash_join, range_selection, relational, selection, sort, sort_merge_join, sorted_rows
+from larkspur.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +39,36 @@ def test_broadcast_only_of_a_checked_size(suppliers):
     assert "BroadcastHashJoin" not in shown(hash_join(left, right, [("[l_k]", "[r_k]")], strategy="broadcast", max_broadcast_rows=199)).split("== Physical Plan ==")[1]
 
 
+@pytest.mark.parametrize("most", [100_000, 0])
+@pytest.mark.parametrize("swap", [False, True])
+def test_join_of_many_to_many_deals_out_keys_of_many_pairs(spark, monkeypatch, swap, most):
+    monkeypatch.setattr(relational, "LEAST_PAIRS", 500)
+    monkeypatch.setattr(relational, "MOST_PAIRS", 500)
+    # one key with most pairs, exact copies, keys of few pairs, of one side alone and null; -0.0 equals 0.0 and NaN itself
+    left = spark.sql("select l_k, id l_id from (values (1.0D, 60), (2.0D, 3), (-0.0D, 40), (double('nan'), 30), (4.0D, 5), (null, 7)) v(l_k, n) lateral view explode(sequence(1, n)) e as id")
+    right = spark.sql("select r_k, 1 r_id, 'x' r_x from (values (1.0D, 900), (2.0D, 30), (0.0D, 50), (double('nan'), 45), (5.0D, 5), (null, 70)) v(r_k, n) lateral view explode(sequence(1, n)) e as id").coalesce(1)
+    if swap:
+        left, right, keys = right, left, [("[r_k]", "[l_k]")]
+    else:
+        keys = [("[l_k]", "[r_k]")]
+    out = hash_join(left, right, keys, strategy="many", max_broadcast_rows=most)
+    assert out.columns == left.columns + right.columns
+    count = lambda df: Counter((str(abs(r["l_k"])), str(abs(r["r_k"])), r["l_id"], r["r_x"]) for r in df.collect())
+    found = count(out)
+    assert sum(found.values()) == 60 * 900 + 3 * 30 + 40 * 50 + 30 * 45 and found == count(hash_join(left, right, keys))
+    if most:
+        made = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(made) > 100 and max(made) < 1000
+    assert hash_join(left.limit(0), right, keys, strategy="many", max_broadcast_rows=most).collect() == []
+
+
+def test_join_many_to_many_of_one_file_is_no_single_task(spark, tmp_path):
+    for name, n in (("s", 2000), ("c", 15_000)):
+        spark.range(n).selectExpr("cast(id % 5 as int) k", "concat('N', id) x").toDF(f"{name}_nationkey", f"{name}_name").coalesce(1).write.parquet(f"{tmp_path}/{dict(s='supplier', c='customer')[name]}.parquet")
+    made = [r["count"] for r in QUERIES["join_many_to_many"](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == 2000 * 15_000 // 5 and max(made) <= sum(made) / 8
+
+
 def test_join_faults(suppliers):
     left, right = suppliers
     for keys, error in (([], EngineError), ([("[l_name]", "[r_k]")], TypeMismatch)):
